@@ -239,6 +239,11 @@ def _fit_unit(row, exog_names, s, given, df) -> list[dict]:
     y = np.asarray(row.y, dtype=float)
     w = np.asarray(row.w, dtype=float)
     X = np.column_stack([np.asarray(getattr(row, n), dtype=float) for n in exog_names]) if exog_names else np.zeros((len(w), 0))
+    dummies = getattr(row, "dummies", None)
+    if dummies is not None and len(dummies):
+        marks = np.zeros((len(w), len(dummies)))
+        marks[np.asarray(dummies) - 1, np.arange(len(dummies))] = 1.0
+        X = np.column_stack([X, marks])
     keep = ~np.isnan(w) & ~np.isnan(X).any(axis=1)
     head = row.d + row.sd * s
     models = list(row.models)

@@ -90,7 +90,31 @@ def solve_bounded(
             b[i] = new
         if moved <= tol * (1.0 + np.sqrt(abs(rhs @ b))):
             break
-    return b
+    return b if soft > 0 else _polish(gram + ridge_add * np.eye(k), rhs, lower, upper, b)
+
+
+def _polish(gram, rhs, lower, upper, b):
+    """Exact solution on the face of the box that coordinate steps ended on."""
+    near = 1e-6
+    low, high = b <= lower + near, b >= upper - near
+    for _ in range(2 * len(b) + 2):
+        inner = ~(low | high)
+        trial = np.where(low, lower, np.where(high, upper, b))
+        if inner.any():
+            at = np.flatnonzero(inner)
+            rest = rhs[at] - gram[np.ix_(at, ~inner)] @ trial[~inner]
+            trial[at] = solve_normal(gram[np.ix_(at, at)], rest)
+        slope = gram @ trial - rhs
+        scale = np.abs(gram) @ np.abs(trial) + np.abs(rhs) + 1e-300
+        under, over = inner & (trial < lower), inner & (trial > upper)
+        wrong_low = low & (slope < -1e-12 * scale)
+        wrong_high = high & (slope > 1e-12 * scale)
+        if not (under.any() or over.any() or wrong_low.any() or wrong_high.any()):
+            return trial
+        low, high = (low | under) & ~wrong_low, (high | over) & ~wrong_high
+    value = lambda v: v @ gram @ v - 2 * rhs @ v
+    trial = np.clip(trial, lower, upper)
+    return trial if value(trial) < value(b) else b
 
 
 def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[Column], name: str = "gram") -> DataFrame:
