@@ -32,7 +32,7 @@ FIT_FIELDS = (
     "beta array<double>, sse double, sae double, worst double, n_resid int, n_w int, k int, k_var int, "
     "lambda double, recent array<double>, converged boolean"
 )
-CANDIDATE_BLOCK = 24
+CANDIDATE_BLOCK = 12
 
 
 def specify(
@@ -207,7 +207,7 @@ def fit_packed(
 ) -> DataFrame:
     """Fit every specification row of the packed series; one output row each.
 
-    Work units are (series, up to 24 candidates), spread over tasks by their hash,
+    Work units are (series, up to 12 candidates), spread over tasks by their hash,
     so a series with many candidates does not hold up one task.
     """
     carried = [c for c in SPEC_COLUMNS if c not in ("series_id", "d", "sd")] + (GIVEN_COLUMNS if given else [])
@@ -298,7 +298,7 @@ def fit_models(
         exog, _ = auto_difference(numbered, exog_columns, s)
     packed = pack_series(panel, spec, s, exog, exog_columns, pairs)
     fits = fit_packed(packed, spec, s, exog_columns, given, df)
-    long_fits = fit_long(panel, spec, s, exog, exog_columns, given, pairs)
+    long_fits = fit_long(panel, spec, s, exog, exog_columns, given, pairs, df)
     if long_fits is not None:
         fits = fits.unionByName(long_fits)
     return with_criteria(fits, s)

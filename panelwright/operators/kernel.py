@@ -198,7 +198,8 @@ def minimise(problem: _Problem, b: np.ndarray, rounds: int = ROUNDS, tol: float
     active = np.arange(C)
     sub = problem
     cur, val, E, J = sub.evaluate(b.copy())
-    mu = np.full(C, 1e-4)
+    # without MA terms a squared objective is an exact linear problem: no damping needed
+    mu = np.where(problem.mask[:, problem.layout.linear :].any(axis=1), 1e-4, 1e-12)
     calm = np.zeros(C, dtype=int)
     for _ in range(rounds):
         A, g = _normal(E, J, sub.weights(E))

@@ -405,38 +405,35 @@ def stepwise(state: DataFrame, fitter: Fitter, start: tuple[int, int, int, int]
         *base.columns, "k", F.col("_best.ic").alias("ic"), F.col("_best.model_id").alias("best_id"), *[F.col(f"_centre.{n}").alias(n) for n in ORDERS]
     )
     search = checkpoint(search)
-    finished = search.limit(0)
-    visited = checkpoint(opened.select("series_id", "model_id").distinct())
+    finished = []
     on = ["series_id", "model_id"]
+    visited = opened.select(*on).distinct()
     while True:
-        open_moves = fitter.specs(moves(search).withColumnRenamed("ic", "best_ic")).join(visited, on, "left_anti")
+        # one job opens the moves, one fits the new ones, one settles the round
+        known = fits.select(*on, F.lit(True).alias("_known"))
         rank = F.row_number().over(Window.partitionBy("series_id").orderBy("move"))
-        open_moves = checkpoint(open_moves.withColumn("_rank", rank).where(F.col("k") + F.col("_rank") <= max_models))
-        fresh = checkpoint(open_moves.join(fits.select(*on), on, "left_anti"))
-        if not fresh.isEmpty():
-            fits = checkpoint(fits.unionByName(fitter.score(fresh)))
+        open_moves = fitter.specs(moves(search).withColumnRenamed("ic", "best_ic")).join(visited, on, "left_anti")
+        open_moves = open_moves.withColumn("_rank", rank).where(F.col("k") + F.col("_rank") <= max_models)
+        open_moves = checkpoint(open_moves.join(known, on, "left"))
+        fits = fits.unionByName(checkpoint(fitter.score(open_moves.where("_known IS NULL"))))
         tried = open_moves.select(*on, "move", "_rank", "best_ic", *ORDERS).join(fits.select(*on, "ic", "admissible"), on)
         improves = F.col("admissible") & (F.col("ic") < F.col("best_ic"))
-        winner = tried.where(improves).groupBy("series_id").agg(
-            F.min(F.struct("move", "_rank", "ic", "model_id", *ORDERS)).alias("_w")
+        first = F.min(F.when(improves, F.col("move"))).over(Window.partitionBy("series_id"))
+        tried = checkpoint(tried.withColumn("_winner", first))
+        visited = visited.unionByName(tried.where("_winner IS NULL OR move <= _winner").select(*on))
+        winner = tried.where("move = _winner").select(
+            "series_id", "_rank", F.col("ic").alias("_ic"), F.col("model_id").alias("_id"), *[F.col(n).alias(f"_{n}") for n in ORDERS]
         )
-        winner = checkpoint(winner)
-        seen = tried.join(winner, "series_id", "left").where(F.col("_w").isNull() | (F.col("move") <= F.col("_w.move")))
-        visited = checkpoint(visited.unionByName(seen.select(*on)))
-        moved = search.join(winner, "series_id")
-        finished = finished.unionByName(search.join(winner, "series_id", "left_anti"))
-        updated = moved.withColumns(
-            {
-                "k": F.col("k") + F.col("_w._rank"),
-                "ic": F.col("_w.ic"),
-                "best_id": F.col("_w.model_id"),
-                **{n: F.col(f"_w.{n}") for n in ORDERS},
-            }
-        ).drop("_w")
-        search = checkpoint(updated)
-        if search.isEmpty():
+        finished.append(search.join(winner, "series_id", "left_anti").select("series_id", F.col("best_id").alias("model_id")))
+        if winner.isEmpty():
             break
-    chosen = finished.select("series_id", F.col("best_id").alias("model_id"))
+        moved = search.join(winner, "series_id").withColumns(
+            {"k": F.col("k") + F.col("_rank"), "ic": F.col("_ic"), "best_id": F.col("_id"), **{n: F.col(f"_{n}") for n in ORDERS}}
+        )
+        search = checkpoint(moved.select(*search.columns))
+    chosen = finished[0]
+    for part in finished[1:]:
+        chosen = chosen.unionByName(part)
     return fits.join(chosen, on)
 
 
