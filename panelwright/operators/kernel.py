@@ -18,6 +18,7 @@ from panelwright.operators.moments import solve_bounded
 
 ROUNDS = 80
 NORMS = (4, 8, 16, 32, 64)
+SETTLED = 1e-16
 
 
 @dataclass
@@ -190,6 +191,25 @@ def _bounded_step(A, g, b, free, lower, upper, lam=0.0, alpha=0.0, damping=0.0):
     return step
 
 
+def quadratic(E, weights):
+    """Weighted sum of squared residuals per candidate."""
+    return (E * E if weights is None else weights * E * E).sum(axis=0)
+
+
+def step_is_small(A, step, total, mu):
+    """True where a lightly damped step changes the residuals by less than 1e-8 of their size."""
+    change = np.einsum("...i,...ij,...j->...", step, A, step)
+    return (change <= SETTLED * (total + 1e-300)) & (mu <= 1.0)
+
+
+def next_gain(A, step, last, gain):
+    """Step length from how the step shrank: steps that shrink slowly along one line are stretched."""
+    along = np.einsum("...i,...ij,...j->...", step, A, last)
+    size = np.einsum("...i,...ij,...j->...", last, A, last)
+    ratio = np.where(size > 0, along / np.where(size > 0, size, 1.0), 0.0)
+    return np.where(size > 0, np.clip(gain / np.maximum(1.0 - ratio, 0.05), 1.0, 20.0), 1.0)
+
+
 def minimise(problem: _Problem, b: np.ndarray, rounds: int = ROUNDS, tol: float = 1e-11):
     """Damped Gauss-Newton with bounds for all candidates at once; returns b and converged flags."""
     C = len(b)
@@ -201,6 +221,7 @@ def minimise(problem: _Problem, b: np.ndarray, rounds: int = ROUNDS, tol: float
     # without MA terms a squared objective is an exact linear problem: no damping needed
     mu = np.where(problem.mask[:, problem.layout.linear :].any(axis=1), 1e-4, 1e-12)
     calm = np.zeros(C, dtype=int)
+    last, gain = np.zeros_like(cur), np.ones(C)
     for _ in range(rounds):
         A, g = _normal(E, J, sub.weights(E))
         step = np.zeros_like(cur)
@@ -223,20 +244,25 @@ def minimise(problem: _Problem, b: np.ndarray, rounds: int = ROUNDS, tol: float
                 step = np.linalg.solve(M, rhs[:, :, None])[:, :, 0]
             except np.linalg.LinAlgError:
                 step = np.stack([np.linalg.pinv(M[c]) @ rhs[c] for c in range(len(active))])
-        trial = np.clip(cur + step, sub.lower, sub.upper)
+        step = np.clip(cur + step, sub.lower, sub.upper) - cur
+        settled = step_is_small(A, step, quadratic(E, sub.weights(E)), mu)
+        gain = next_gain(A, step, last, gain)
+        trial = np.clip(cur + gain[:, None] * step, sub.lower, sub.upper)
         new, nval, nE, nJ = sub.evaluate(trial)
         better = nval < val
         drop = (val - nval) <= tol * (np.abs(val) + 1e-300)
         moved = np.abs(new - cur).max(axis=1)
-        small = (~better & (moved < 1e-9)) | (better & drop)
+        small = (~better & (gain == 1.0) & (moved < 1e-9)) | (better & drop)
         calm = np.where(small, calm + 1, np.where(better, 0, calm))
         cur = np.where(better[:, None], new, cur)
         val = np.where(better, nval, val)
         E = np.where(better[None, :], nE, E)
         J = np.where(better[None, :, None], nJ, J)
-        mu = np.where(better, np.maximum(mu * 0.2, 1e-12), mu * 6.0)
+        last = np.where(better[:, None], step, 0.0)
+        mu = np.where(better, np.maximum(mu * 0.2, 1e-12), np.where(gain == 1.0, mu * 6.0, mu))
+        gain = np.where(better, gain, 1.0)
         best[active] = cur
-        done = (calm >= 2) | (mu > 1e9)
+        done = (calm >= 2) | (mu > 1e9) | settled
         converged[active[done]] = True
         if done.all():
             break
@@ -244,6 +270,7 @@ def minimise(problem: _Problem, b: np.ndarray, rounds: int = ROUNDS, tol: float
             keep = ~done
             active, sub = active[keep], sub.subset(keep)
             cur, val, E, J, mu, calm = cur[keep], val[keep], E[:, keep], J[:, keep], mu[keep], calm[keep]
+            last, gain = last[keep], gain[keep]
     return best, converged
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.operators.kernel import NORMS, Layout, _bounded_step
+from panelwright.operators.kernel import NORMS, Layout, _bounded_step, next_gain, step_is_small
 from panelwright.operators.moments import full_matrix, pairs
 from panelwright.operators.panel import lengths
 from panelwright.operators.residuals import end_state, recurse, step_matrix
@@ -35,7 +35,7 @@ PHASES = {"mae": [2, 1], "stable": [2, *NORMS]}
 STATE = (
     "series_id string, model_id string, d int, sd int, p int, q int, sp int, sq int, mean boolean, drift boolean, objective string, "
     "alpha double, lambda double, n long, free array<boolean>, b array<double>, trial array<double>, value double, gram array<double>, "
-    "sse double, sae double, worst double, n_resid long, n_w long, recent array<double>, mu double, calm int, phase int, ref double, done boolean"
+    "sse double, sae double, worst double, n_resid long, n_w long, recent array<double>, mu double, calm int, phase int, ref double, last array<double>, gain double, done boolean"
 )
 FIELDS = [f.split()[0] for f in STATE.split(", ")]
 
@@ -64,7 +64,11 @@ def fit_long(
     for c in exog_columns:
         rows = rows.where(F.col(c).isNotNull())
     lags = {f"lag_{i}": ("w", i) for i in sorted(set(layout.ar_lags))}
-    rows = checkpoint(with_lags(rows.select(*SERIES, "t", "tw", "w", *exog_columns), lags, SERIES).fillna(0.0, list(lags)))
+    rows = with_lags(rows.select(*SERIES, "t", "tw", "w", *exog_columns), lags, SERIES).fillna(0.0, list(lags))
+    # stored by block, so no pass has to shuffle the rows again
+    spark = panel.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    rows = checkpoint(rows.repartition(tasks, *SERIES, "blk"))
     state = checkpoint(_start(wanted, panel, layout, given, df))
     for _ in range(ROUNDS):
         active = state.where(~F.col("done"))
@@ -113,7 +117,7 @@ def _start(wanted: DataFrame, panel: DataFrame, layout: Layout, given: bool, df:
                             free[place : place + len(values)] = False
                 start = {
                     "free": free.tolist(), "b": b.tolist(), "trial": b.tolist(), "value": np.inf, "gram": [], "sse": np.nan, "sae": np.nan,
-                    "worst": np.nan, "n_resid": 0, "n_w": 0, "recent": [], "mu": 1e-4 if layout.ma_lags else 1e-12, "calm": 0, "phase": 0, "ref": 1.0, "done": False,
+                    "worst": np.nan, "n_resid": 0, "n_w": 0, "recent": [], "mu": 1e-4 if layout.ma_lags else 1e-12, "calm": 0, "phase": 0, "ref": 1.0, "last": [0.0] * layout.size, "gain": 1.0, "done": False,
                 }
                 out.append({**{c: row[c] for c in carried}, **start})
             yield pd.DataFrame(out, columns=FIELDS)
@@ -270,20 +274,25 @@ def _advance_row(row: dict, layout: Layout, low: np.ndarray) -> dict:
         out.update(b=trial.tolist(), value=float(new), gram=list(row["_gram"]), recent=list(row["_recent"]), n_w=int(row["_n_w"]))
         out.update({c: row[f"_{c}"] for c in ("sse", "sae", "worst", "n_resid")})
         mu, calm = max(mu * 0.2, 1e-12), calm + 1 if small else 0
+        last, gain = np.asarray(row["last"]), row["gain"]
     else:
-        mu, calm = mu * 6.0, calm + 1 if moved < 1e-9 else calm
-    if calm >= 2 or mu > 1e9 or not free.any():
-        if row["phase"] + 1 < len(phases) and free.any():
-            out.update(phase=row["phase"] + 1, ref=max(out["worst"], 1e-300), value=np.inf, trial=out["b"], mu=1e-4, calm=0)
-        else:
-            out.update(done=True, trial=out["b"], mu=mu, calm=calm)
-        return out
+        if row["gain"] == 1.0:
+            mu, calm = mu * 6.0, calm + 1 if moved < 1e-9 else calm
+        last, gain = np.zeros(layout.size), 1.0
     G = full_matrix(np.asarray(out["gram"], dtype=float), layout.size + 1)
     now = np.asarray(out["b"])
     lower = np.where(free, low, -np.inf)
     A, g = G[1:, 1:], G[1:, 0]
-    step = _bounded_step(A, g, now, free, lower, -lower, lam, alpha, mu)
-    out.update(trial=np.clip(now + step, lower, -lower).tolist(), mu=mu, calm=calm)
+    step = np.clip(now + _bounded_step(A, g, now, free, lower, -lower, lam, alpha, mu), lower, -lower) - now
+    settled = bool(step_is_small(A, step, G[0, 0], mu))
+    if calm >= 2 or mu > 1e9 or settled or not free.any():
+        if row["phase"] + 1 < len(phases) and free.any():
+            out.update(phase=row["phase"] + 1, ref=max(out["worst"], 1e-300), value=np.inf, trial=out["b"], mu=1e-4, calm=0, last=[0.0] * layout.size, gain=1.0)
+        else:
+            out.update(done=True, trial=out["b"], mu=mu, calm=calm)
+        return out
+    gain = float(next_gain(A, step, last, gain))
+    out.update(trial=np.clip(now + gain * step, lower, -lower).tolist(), mu=mu, calm=calm, last=step.tolist(), gain=gain)
     return out
 
 
