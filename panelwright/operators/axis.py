@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwright.plans.blocks import KEYS, with_lags
+from panelwright.plans.blocks import KEYS, attach, with_lags
 
 # Seconds of the units, finest first.
 UNITS = [("Second", 1), ("Minute", 60), ("Hour", 3600), ("Day", 86400), ("Week", 604800)]
@@ -90,16 +90,12 @@ def require_regular(panel: DataFrame, axis: DataFrame, strict: bool = False) ->
 
     With ``strict`` an irregular series fails the job instead.
     """
-    bad = axis.where(~F.col("ok")).select("series_id")
+    ok = F.col("ok")
     if strict:
-        checked = axis.select(
-            "series_id",
-            F.when(F.col("ok"), True)
-            .otherwise(F.raise_error(F.concat(F.lit("inconsistent date pattern in series "), F.col("series_id"))))
-            .alias("_ok"),
-        )
-        return panel.join(checked.where("_ok").select("series_id"), "series_id", "left_semi"), panel.limit(0)
-    return panel.join(bad, "series_id", "left_anti"), panel.join(bad, "series_id", "left_semi")
+        message = F.concat(F.lit("inconsistent date pattern in series "), F.col("series_id"))
+        ok = F.when(ok, True).otherwise(F.raise_error(message).cast("boolean"))
+    marked = attach(panel, axis.select("series_id", "n", ok.alias("_ok"))).drop("n", "blk")
+    return marked.where("_ok").drop("_ok"), marked.where("NOT _ok").drop("_ok")
 
 
 def future_timestamps(axis: DataFrame, h: int, last: str = "end_ts") -> DataFrame:

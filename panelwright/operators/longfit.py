@@ -22,7 +22,7 @@ from panelwright.operators.kernel import NORMS, Layout, _bounded_step, next_gain
 from panelwright.operators.moments import full_matrix, pairs
 from panelwright.operators.panel import lengths
 from panelwright.operators.residuals import end_state, recurse, step_matrix
-from panelwright.plans.blocks import block_rows, with_lags
+from panelwright.plans.blocks import block_rows, restrict, with_lags
 from panelwright.plans.session import checkpoint
 
 SERIES = ["series_id", "d", "sd"]
@@ -60,7 +60,7 @@ def fit_long(
     if most is None or most["p"] is None:
         return None
     layout = Layout(len(exog_columns), most["p"], most["sp"], most["q"], most["sq"], s)
-    rows = differenced(panel.join(ends.select("series_id"), "series_id", "left_semi"), wanted, s, exog, pairs_ or PAIRS).where("w IS NOT NULL")
+    rows = differenced(restrict(panel, ends), wanted, s, exog, pairs_ or PAIRS).where("w IS NOT NULL")
     for c in exog_columns:
         rows = rows.where(F.col(c).isNotNull())
     lags = {f"lag_{i}": ("w", i) for i in sorted(set(layout.ar_lags))}
@@ -88,7 +88,7 @@ def _start(wanted: DataFrame, panel: DataFrame, layout: Layout, given: bool, df:
     wanted = wanted.withColumn("_k", k).withColumn("_path", open_path)
     sizes = [r["_k"] for r in wanted.where("_path").select("_k").distinct().collect()]
     with_lambda = wanted.where("NOT _path")
-    long_panel = panel.join(wanted.select("series_id").distinct(), "series_id", "left_semi")
+    long_panel = restrict(panel, wanted.select("series_id", "n").distinct())
     for size in sizes:
         mine = wanted.where(F.col("_path") & (F.col("_k") == size)).drop("lambda")
         if size <= 1:

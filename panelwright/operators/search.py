@@ -21,7 +21,7 @@ from panelwright.operators.longfit import fit_long
 from panelwright.operators.outliers import detect_outliers
 from panelwright.operators.panel import check_settings, is_constant, lengths, model_label
 from panelwright.operators.unitroot import LONGEST, ndiffs, nsdiffs
-from panelwright.plans.blocks import attach
+from panelwright.plans.blocks import attach, block_rows, restrict
 from panelwright.plans.session import checkpoint
 
 MAX_MODELS = 94
@@ -473,7 +473,7 @@ def auto_sarima(
     if mean and drift:
         raise ValueError("mean and drift are both an intercept of the differenced series: allow one of them")
     flat = checkpoint(constant_series_model(panel, mean))
-    varied = panel.join(flat.select("series_id"), "series_id", "left_anti")
+    varied = restrict(panel, lengths(panel).join(flat.select("series_id"), "series_id", "left_anti"))
     orders = checkpoint(select_orders(varied, s, d, D, max_d, seasonal_test, exog, exog_columns, longest))
     rules = constant_rules(orders, mean, drift)
     rows = attach(varied.select("series_id", "ts", "t", "y"), orders.select("series_id", "n", "d", "sd")).drop("n", "blk")
@@ -485,7 +485,8 @@ def auto_sarima(
     every = orders.select("series_id", "d", "sd").unionByName(flat.select("series_id", "d", "sd"))
     packed = pack_series(panel, every, s, exog, exog_columns)
     if outliers:
-        packed = packed.join(_dummy_positions(varied, orders, s, exog, exog_columns), "series_id", "left")
+        short = orders.where(F.col("n") <= block_rows(panel))
+        packed = packed.join(_dummy_positions(varied, short, s, exog, exog_columns), "series_id", "left")
     packed = checkpoint(packed)
 
     def fit(spec: DataFrame) -> DataFrame:
@@ -512,7 +513,7 @@ def _dummy_positions(panel: DataFrame, orders: DataFrame, s: int, exog: DataFram
     """Positions of outlying null-model residuals per series, one detection per pair of orders."""
     parts = []
     for d, D in PAIRS:
-        wanted = panel.join(orders.where((F.col("d") == d) & (F.col("sd") == D)).select("series_id"), "series_id", "left_semi")
+        wanted = restrict(panel, orders.where((F.col("d") == d) & (F.col("sd") == D)))
         parts.append(detect_outliers(wanted, d, D, s, exog, exog_columns))
     found = parts[0]
     for part in parts[1:]:

@@ -137,6 +137,11 @@ def attach(df: DataFrame, values: DataFrame, keys: Sequence[str] = KEYS, last: s
     return df.join(spread, [*keys, "blk"])
 
 
+def restrict(df: DataFrame, series: DataFrame, keys: Sequence[str] = KEYS, last: str = "n") -> DataFrame:
+    """Rows of the series listed in ``series`` (with their last position), without a hot join key."""
+    return attach(df.drop("blk"), series.select(*keys, F.col(last).alias("_last")), keys, "_last").drop("_last", "blk")
+
+
 def with_earlier(
     df: DataFrame, columns: Sequence[str], shift: Column, carry: Sequence[str], prefix: str = "earlier_", keys: Sequence[str] = KEYS
 ) -> DataFrame:
