@@ -69,13 +69,17 @@ def fit_long(
     spark = panel.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     rows = checkpoint(rows.repartition(tasks, *SERIES, "blk"))
-    state = checkpoint(_start(wanted, panel, layout, given, df))
+    active = checkpoint(_start(wanted, panel, layout, given, df))
+    finished = []
     for _ in range(ROUNDS):
-        active = state.where(~F.col("done"))
+        state = checkpoint(_advance(active, _measure(rows, active, layout, exog_columns, s, limit), layout))
+        finished.append(state.where("done"))
+        active = state.where("NOT done")
         if active.isEmpty():
             break
-        measured = _measure(rows, active, layout, exog_columns, s, limit)
-        state = checkpoint(state.where("done").unionByName(_advance(active, measured, layout)))
+    state = active
+    for part in finished:
+        state = state.unionByName(part)
     return _finish(state, layout, s, given, df)
 
 
