@@ -219,6 +219,8 @@ def fit_packed(
     )
     spark = packed.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    # a row attribute cannot be called lambda
+    units = units.withColumnRenamed("lambda", "penalty")
     work = packed.join(units, ["series_id", "d", "sd"]).repartition(tasks, "series_id", "d", "sd", "objective", "_unit")
     exog_names = [f"x_{c}" for c in exog_columns]
     spec_fields = "series_id string, model_id string, p int, d int, q int, sp int, sd int, sq int, s int, mean boolean, drift boolean, objective string, alpha double"
@@ -254,7 +256,7 @@ def _fit_unit(row, exog_names, s, given, df) -> list[dict]:
         for m in models:
             constant = m["c"] if m["c"] is not None else m["trend"]
             fixed.append({"constant": constant, **{n: m[n] for n in ("beta", "ar", "sar", "ma", "sma")}})
-    lam = None if row_missing(getattr(row, "lambda", None)) else float(getattr(row, "lambda"))
+    lam = None if row_missing(row.penalty) else float(row.penalty)
     alpha = None if row_missing(row.alpha) else float(row.alpha)
     fits = fit_candidates(w[keep], y, X[keep], orders, s, row.objective, lam, alpha, fixed, df)
     out = []

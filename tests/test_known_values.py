@@ -105,6 +105,14 @@ def test_objectives(series):
     assert fits["elastic_net"].ar != mse.ar and fits["elastic_net"]["lambda"] > 0
 
 
+def test_given_penalty_is_used(series):
+    log = series.where("series_id = 'log'")
+    spec = estimate.specify(log, 1, 1, objective="elastic_net", lam=0.1, alpha=1.0)
+    fit = estimate.fit_models(log, spec).collect()[0]
+    assert fit["lambda"] == 0.1
+    assert fit.ar == pytest.approx([-0.3013120314], abs=1e-5) and fit.sse == pytest.approx(6.0439011821, abs=1e-6)
+
+
 @pytest.mark.parametrize(
     "ar, seasonal, s, d", [([0.3], 0.0, 1, 0), ([0.3, 0.4], 0.0, 1, 0), ([-0.3, -0.2], -0.4, 12, 1)]
 )
