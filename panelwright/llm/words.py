@@ -73,15 +73,21 @@ class Joined:
         return mix(value[whole]), whole
 
 
-def joined(texts: Iterable[str | None], lower: bool = False) -> Iterator[Joined]:
-    """Groups of texts in their order; null counts as empty."""
+def batches(texts: Iterable[str | None], most: int = 1 << 30) -> Iterator[list[bytes]]:
+    """Texts in their order as UTF-8, in groups of about ``JOIN_BYTES`` and ``most`` texts at most; null counts as empty."""
     group, size = [], 0
     for text in texts:
         data = (text or "").encode()
-        if group and size + len(data) > JOIN_BYTES:
-            yield Joined(group, lower)
+        if group and (size + len(data) > JOIN_BYTES or len(group) == most):
+            yield group
             group, size = [], 0
         group.append(data)
         size += len(data) + 1
     if group:
+        yield group
+
+
+def joined(texts: Iterable[str | None], lower: bool = False) -> Iterator[Joined]:
+    """The words of such groups."""
+    for group in batches(texts):
         yield Joined(group, lower)
