@@ -4,17 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import packing
+from panelwright.llm import langid, nearjoin, packing, quality
 from panelwright.llm.queries import tokenizer
 from panelwright.llm.storage import keep
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose host is not rejected."""
+    return quality.kept_rows(docs)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents near a centroid of a language learnt from this stage's own documents."""
+    return langid.accepted_rows(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group of near duplicates."""
+    return nearjoin.kept_rows(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Everything that is left, packed into windows of 4096 tokens."""
     return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality rules", good_quality),
+    ("language identification", known_language),
+    ("near duplicates", one_of_each_group),
+    ("packing", pack),
+]
 
 #: Language identification and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -181,7 +181,7 @@ WITH tokens AS (
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), counts AS (
-  SELECT t.doc_id, t.source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT t.doc_id, t.source, len(w)::BIGINT AS n_words, length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM tokens t LEFT JOIN covered c ON c.doc_id = t.doc_id LEFT JOIN lines l ON l.doc_id = t.doc_id

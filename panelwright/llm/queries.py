@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import langid, packing, quality, ring
+from panelwright.llm import langid, nearjoin, packing, quality, ring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_language_id")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op6_near_duplicates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_duplicates(table(spark, sf_dir, "documents"))
