@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import langid, nearjoin, packing, quality, ring
+from panelwright.llm import langid, nearjoin, packing, quality, ring, urlrules, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_near_duplicates")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_fingerprints")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op5_url_rules", urlrules.judge_sql(urlrules.HOST_RULES, urlrules.PATTERNS))
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages"), urlrules.HOST_RULES, urlrules.PATTERNS)
