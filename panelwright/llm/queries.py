@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import langid, nearjoin, packing, quality, ring, urlrules, winnowing
+from panelwright.llm import langid, lattice, nearjoin, packing, pieces, quality, ring, urlrules, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_url_rules", urlrules.judge_sql(urlrules.HOST_RULES, urlrules.PATTERNS))
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), urlrules.HOST_RULES, urlrules.PATTERNS)
+
+
+@query("op8_lm_scoring")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op9_sentencepiece")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
