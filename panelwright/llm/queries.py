@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import langid, lattice, nearjoin, packing, pieces, quality, ring, urlrules, winnowing
+from panelwright.llm import langid, lattice, licences, nearjoin, packing, pieces, quality, ring, urlrules, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_sentencepiece")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op7_licence_scan", licences.scan_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
