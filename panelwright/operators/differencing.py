@@ -48,12 +48,14 @@ def difference_by_orders(
 ) -> DataFrame:
     """As ``difference`` with orders ``d, sd`` held in columns of the panel, out of ``pairs``.
 
-    One window pass makes the lags of all pairs; each row picks its own sum.
+    One window pass makes the lags of all pairs; each row picks its own sum, and
+    orders that are not among the pairs fail the job.
     With ``keep_head`` the rows without a difference stay, with a null.
     """
     by_pair = {pair: diff_coefficients(*pair, s) for pair in pairs}
     lags = _lag_names(sorted({k for cs in by_pair.values() for k, c in enumerate(cs) if c}), value)
-    chosen = F.lit(None).cast("double")
+    unknown = F.concat(F.lit("no differencing was prepared for the orders d = "), F.col("d"), F.lit(", D = "), F.col("sd"))
+    chosen = F.when(F.col("d").isNotNull() & F.col("sd").isNotNull(), F.raise_error(unknown).cast("double"))
     for (d, D), coefficients in by_pair.items():
         mine = (F.col("d") == d) & (F.col("sd") == D)
         chosen = F.when(mine, _weighted(coefficients, value)).otherwise(chosen)
@@ -61,6 +63,11 @@ def difference_by_orders(
     return rows if keep_head else rows.where(F.col("t") > F.col("d") + F.col("sd") * s)
 
 
+def order_pairs(orders: DataFrame) -> list[tuple[int, int]]:
+    """The distinct differencing orders that occur: a handful of rows, whatever the number of series."""
+    return sorted((r["d"], r["sd"]) for r in orders.select("d", "sd").distinct().collect())
+
+
 def integrate(
     initial: DataFrame, diffs: DataFrame, d: int, D: int, s: int, keys: Sequence[str] = KEYS
 ) -> DataFrame:

@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.criteria import log_likelihood, model_aic, model_aicc, model_bic, residual_variance
 from panelwright.functions.polynomials import full_polynomial, invertible, stationary
-from panelwright.operators.differencing import difference_by_orders
+from panelwright.operators.differencing import difference_by_orders, order_pairs
 from panelwright.operators.kernel import Layout, fit_candidates, lambda_path
 from panelwright.operators.moments import full_matrix, moment_array, solve_bounded
 from panelwright.operators.panel import lengths, model_label
 from panelwright.operators.unitroot import auto_difference
 from panelwright.plans.blocks import KEYS, attach, block_rows, with_lags
 
-PAIRS = [(d, D) for d in range(3) for D in range(2)]
 MODEL = ["series_id", "model_id"]
 SPEC_COLUMNS = ["series_id", "model_id", "p", "d", "q", "sp", "sd", "sq", "s", "mean", "drift", "objective", "lambda", "alpha"]
 GIVEN_COLUMNS = ["c", "trend", "ar", "ma", "sar", "sma", "beta"]
@@ -168,9 +167,13 @@ def _row(parts: dict, mean, drift) -> dict:
 
 
 def differenced(
-    panel: DataFrame, orders: DataFrame, s: int, exog: DataFrame | None = None, pairs: Sequence[tuple[int, int]] = PAIRS
+    panel: DataFrame, orders: DataFrame, s: int, exog: DataFrame | None = None, pairs: Sequence[tuple[int, int]] | None = None
 ) -> DataFrame:
-    """``y``, ``w`` and regressors per ``(series_id, d, sd, t)``; ``w`` is null in the first d + sd*s rows."""
+    """``y``, ``w`` and regressors per ``(series_id, d, sd, t)``; ``w`` is null in the first d + sd*s rows.
+
+    ``pairs`` are the orders that may occur; without them they are read from ``orders``.
+    """
+    pairs = order_pairs(orders) if pairs is None else pairs
     ends = lengths(panel)
     wanted = orders.select("series_id", "d", "sd").distinct().join(ends, "series_id")
     rows = attach(panel.select("series_id", "ts", "t", "y"), wanted).drop("blk")
@@ -186,7 +189,7 @@ def pack_series(
     s: int,
     exog: DataFrame | None = None,
     exog_columns: Sequence[str] = (),
-    pairs: Sequence[tuple[int, int]] = PAIRS,
+    pairs: Sequence[tuple[int, int]] | None = None,
 ) -> DataFrame:
     """One row per short series and differencing: arrays ``y, w`` and ``x_<column>`` in time order.
 
@@ -287,7 +290,7 @@ def fit_models(
     given: bool = False,
     auto_exog_difference: bool = False,
     df: str = "residuals",
-    pairs: Sequence[tuple[int, int]] = PAIRS,
+    pairs: Sequence[tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Fit all specification rows and score them (``with_criteria``).
 
@@ -298,6 +301,7 @@ def fit_models(
     if exog is not None and auto_exog_difference:
         numbered = exog if "t" in exog.columns else exog.join(panel.select("series_id", "ts", "t"), ["series_id", "ts"])
         exog, _ = auto_difference(numbered, exog_columns, s)
+    pairs = order_pairs(spec) if pairs is None else pairs
     packed = pack_series(panel, spec, s, exog, exog_columns, pairs)
     fits = fit_packed(packed, spec, s, exog_columns, given, df)
     long_fits = fit_long(panel, spec, s, exog, exog_columns, given, pairs, df)

@@ -22,11 +22,11 @@ from panelwright.operators.kernel import NORMS, Layout, _bounded_step, next_gain
 from panelwright.operators.moments import full_matrix, pairs
 from panelwright.operators.panel import lengths
 from panelwright.operators.residuals import end_state, recurse, step_matrix
-from panelwright.plans.blocks import block_rows, restrict, with_lags
+from panelwright.plans.blocks import attach, block_rows, restrict, with_lags
 from panelwright.plans.session import checkpoint
 
 SERIES = ["series_id", "d", "sd"]
-ROUNDS = 200
+ROUNDS = 400
 PATH_STEPS = 10
 
 # What each objective minimises in turn: the norm of the residuals (1, 2 or higher).
@@ -35,9 +35,11 @@ PHASES = {"mae": [2, 1], "stable": [2, *NORMS]}
 STATE = (
     "series_id string, model_id string, d int, sd int, p int, q int, sp int, sq int, mean boolean, drift boolean, objective string, "
     "alpha double, lambda double, n long, free array<boolean>, b array<double>, trial array<double>, value double, gram array<double>, "
-    "sse double, sae double, worst double, n_resid long, n_w long, recent array<double>, mu double, calm int, phase int, ref double, last array<double>, gain double, done boolean"
+    "sse double, sae double, worst double, n_resid long, n_w long, recent array<double>, mu double, calm int, phase int, ref double, last array<double>, gain double, done boolean, "
+    "kept_b array<double>, kept array<double>, kept_recent array<double>"
 )
 FIELDS = [f.split()[0] for f in STATE.split(", ")]
+KEPT = ("sse", "sae", "worst", "n_resid")
 
 
 def fit_long(
@@ -49,27 +51,40 @@ def fit_long(
     given: bool = False,
     pairs_: Sequence[tuple[int, int]] | None = None,
     df: str = "residuals",
+    dummies: DataFrame | None = None,
 ) -> DataFrame | None:
-    """Fits of the specification rows whose series exceed one block; None if there are none."""
-    from panelwright.operators.estimate import PAIRS, differenced
+    """Fits of the specification rows whose series exceed one block; None if there are none.
+
+    ``dummies`` (series_id, dummies) lists positions that get a regressor of their own each.
+    """
+    from panelwright.operators.estimate import differenced
 
     limit = block_rows(panel)
     ends = lengths(panel).where(F.col("n") > limit)
-    wanted = spec.join(ends, "series_id")
-    most = wanted.agg(*[F.max(c).alias(c) for c in ("p", "sp", "q", "sq")]).first()
+    marks = ends.withColumn("dummies", F.array().cast("array<bigint>"))
+    if dummies is not None:
+        marks = ends.join(dummies, "series_id", "left").withColumn("dummies", F.coalesce("dummies", F.array().cast("array<bigint>")))
+    wanted = spec.join(marks.withColumn("n_marks", F.size("dummies")).drop("dummies"), "series_id")
+    most = wanted.agg(*[F.max(c).alias(c) for c in ("p", "sp", "q", "sq", "n_marks")]).first()
     if most is None or most["p"] is None:
         return None
+    given_columns = list(exog_columns)
+    exog_columns = [*given_columns, *[f"_mark{i}" for i in range(most["n_marks"])]]
     layout = Layout(len(exog_columns), most["p"], most["sp"], most["q"], most["sq"], s)
-    rows = differenced(restrict(panel, ends), wanted, s, exog, pairs_ or PAIRS).where("w IS NOT NULL")
-    for c in exog_columns:
+    rows = differenced(restrict(panel, ends), wanted, s, exog, pairs_).where("w IS NOT NULL")
+    for c in given_columns:
         rows = rows.where(F.col(c).isNotNull())
+    if most["n_marks"]:
+        rows = attach(rows.drop("n", "blk"), marks)
+        mark = lambda i: F.coalesce(F.try_element_at("dummies", F.lit(i + 1)) == F.col("t"), F.lit(False)).cast("double")
+        rows = rows.withColumns({f"_mark{i}": mark(i) for i in range(most["n_marks"])}).drop("dummies")
     lags = {f"lag_{i}": ("w", i) for i in sorted(set(layout.ar_lags))}
     rows = with_lags(rows.select(*SERIES, "t", "tw", "w", *exog_columns), lags, SERIES).fillna(0.0, list(lags))
     # stored by block, so no pass has to shuffle the rows again
     spark = panel.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     rows = checkpoint(rows.repartition(tasks, *SERIES, "blk"))
-    active = checkpoint(_start(wanted, panel, layout, given, df))
+    active = checkpoint(_start(wanted, panel, rows, layout, given, df))
     finished = []
     for _ in range(ROUNDS):
         state = checkpoint(_advance(active, _measure(rows, active, layout, exog_columns, s, limit), layout))
@@ -80,28 +95,32 @@ def fit_long(
     state = active
     for part in finished:
         state = state.unionByName(part)
-    return _finish(state, layout, s, given, df)
+    return _finish(state, layout, s, given, df, len(given_columns))
 
 
-def _start(wanted: DataFrame, panel: DataFrame, layout: Layout, given: bool, df: str) -> DataFrame:
+def _start(wanted: DataFrame, panel: DataFrame, rows: DataFrame, layout: Layout, given: bool, df: str) -> DataFrame:
     """State rows at the origin; an elastic net without a penalty becomes one row per step of its path."""
     from panelwright.operators.estimate import GIVEN_COLUMNS, lambda_path_panel
 
     k = F.col("p") + F.col("q") + F.col("sp") + F.col("sq") + F.col("mean").cast("int") + F.col("drift").cast("int") + 1
     open_path = (F.col("objective") == "elastic_net") & F.col("lambda").isNull()
     wanted = wanted.withColumn("_k", k).withColumn("_path", open_path)
+    most_marks = sum(c.startswith("_mark") for c in rows.columns)
     sizes = [r["_k"] for r in wanted.where("_path").select("_k").distinct().collect()]
     with_lambda = wanted.where("NOT _path")
     long_panel = restrict(panel, wanted.select("series_id", "n").distinct())
     for size in sizes:
         mine = wanted.where(F.col("_path") & (F.col("_k") == size)).drop("lambda")
         if size <= 1:
-            with_lambda = with_lambda.unionByName(mine.withColumn("lambda", F.lit(0.0)))
+            # nothing to choose a penalty by: the default of a fit on as many rows
+            fitted = rows.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_rows"))
+            mine = mine.join(fitted, SERIES).withColumn("lambda", 1.0 / F.sqrt("_rows")).drop("_rows")
+            with_lambda = with_lambda.unionByName(mine)
             continue
         steps = lambda_path_panel(long_panel, size, PATH_STEPS).select("series_id", "lambda", "step")
         named = mine.join(steps, "series_id").withColumn("model_id", F.concat("model_id", F.lit("#"), F.col("step").cast("string"))).drop("step")
         with_lambda = with_lambda.unionByName(named)
-    carried = ["series_id", "model_id", "d", "sd", "p", "q", "sp", "sq", "mean", "drift", "objective", "alpha", "lambda", "n"]
+    carried = ["series_id", "model_id", "d", "sd", "p", "q", "sp", "sq", "mean", "drift", "objective", "alpha", "lambda", "n", "n_marks"]
 
     def run(batches):
         for batch in batches:
@@ -109,6 +128,7 @@ def _start(wanted: DataFrame, panel: DataFrame, layout: Layout, given: bool, df:
             for row in batch.to_dict("records"):
                 orders = np.array([(row["p"], row["q"], row["sp"], row["sq"], int(row["mean"] or row["drift"]))])
                 free, b = layout.mask(orders)[0], np.zeros(layout.size)
+                free[1 + layout.exog - most_marks + row["n_marks"] : 1 + layout.exog] = False
                 if given:
                     constant = row["c"] if not _missing(row["c"]) else row["trend"]
                     at = {"beta": 1, "ar": 1 + layout.exog, "sar": 1 + layout.exog + layout.p, "ma": layout.linear, "sma": layout.linear + layout.q}
@@ -122,8 +142,9 @@ def _start(wanted: DataFrame, panel: DataFrame, layout: Layout, given: bool, df:
                 start = {
                     "free": free.tolist(), "b": b.tolist(), "trial": b.tolist(), "value": np.inf, "gram": [], "sse": np.nan, "sae": np.nan,
                     "worst": np.nan, "n_resid": 0, "n_w": 0, "recent": [], "mu": 1e-4 if layout.ma_lags else 1e-12, "calm": 0, "phase": 0, "ref": 1.0, "last": [0.0] * layout.size, "gain": 1.0, "done": False,
+                    "kept_b": None, "kept": None, "kept_recent": None,
                 }
-                out.append({**{c: row[c] for c in carried}, **start})
+                out.append({**{c: row[c] for c in carried if c != "n_marks"}, **start})
             yield pd.DataFrame(out, columns=FIELDS)
 
     return with_lambda.select(*carried, *(GIVEN_COLUMNS if given else [])).mapInPandas(run, STATE)
@@ -291,8 +312,14 @@ def _advance_row(row: dict, layout: Layout, low: np.ndarray) -> dict:
     settled = bool(step_is_small(A, step, G[0, 0], mu))
     if calm >= 2 or mu > 1e9 or settled or not free.any():
         if row["phase"] + 1 < len(phases) and free.any():
+            if row["objective"] == "stable" and row["phase"] == 0:
+                out.update(kept_b=out["b"], kept=[float(out[c]) for c in KEPT], kept_recent=out["recent"])
             out.update(phase=row["phase"] + 1, ref=max(out["worst"], 1e-300), value=np.inf, trial=out["b"], mu=1e-4, calm=0, last=[0.0] * layout.size, gain=1.0)
         else:
+            if out["kept"] is not None and out["worst"] > out["kept"][KEPT.index("worst")]:
+                # the higher norms made the largest residual larger: back to least squares
+                out.update(b=out["kept_b"], recent=out["kept_recent"], **dict(zip(KEPT, out["kept"])))
+                out.update(n_resid=int(out["n_resid"]))
             out.update(done=True, trial=out["b"], mu=mu, calm=calm)
         return out
     gain = float(next_gain(A, step, last, gain))
@@ -300,7 +327,7 @@ def _advance_row(row: dict, layout: Layout, low: np.ndarray) -> dict:
     return out
 
 
-def _finish(state: DataFrame, layout: Layout, s: int, given: bool, df: str) -> DataFrame:
+def _finish(state: DataFrame, layout: Layout, s: int, given: bool, df: str, exog: int) -> DataFrame:
     """The fit table of the finished state; of a penalty path the step with the lowest BIC."""
     from panelwright.operators.estimate import FIT_FIELDS, _row
 
@@ -313,10 +340,13 @@ def _finish(state: DataFrame, layout: Layout, s: int, given: bool, df: str) -> D
             out = []
             for row in batch.to_dict("records"):
                 orders = (row["p"], row["q"], row["sp"], row["sq"], int(row["mean"] or row["drift"]))
-                k = int(layout.mask(np.array([orders])).sum()) + 1
+                whole = int(layout.mask(np.array([orders])).sum()) + 1
+                marks = int(np.sum(row["free"][1 + exog : 1 + layout.exog]))
+                k = whole - (layout.exog - exog - marks)
                 beta_given = given and layout.exog > 0 and not row["free"][1]
-                k_var = k if beta_given else k - layout.exog
+                k_var = k if beta_given else whole - layout.exog
                 parts = layout.split(np.asarray(row["b"]), orders)
+                parts["beta"] = parts["beta"][: exog + marks]
                 freedom = row["n_resid"] if df == "residuals" else int(np.count_nonzero(row["b"]))
                 variance = row["sse"] / (row["n_w"] - k_var + 1)
                 out.append(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.operators.differencing import difference
 from panelwright.operators.estimate import design, fit_linear, linear_moments, specify
 from panelwright.operators.panel import lengths
-from panelwright.plans.blocks import KEYS, attach
+from panelwright.plans.blocks import KEYS, attach, count_up
 
 SKETCH_ACCURACY = 10_000
 SKETCH_MARGIN = 3.0 / SKETCH_ACCURACY
@@ -87,7 +87,8 @@ def outlier_dummies(flags: DataFrame, lead: int = 0, first: str = "t") -> DataFr
 
 def dense_dummies(dummies: DataFrame, axis: DataFrame, names: Sequence[str], tail: int = 0) -> DataFrame:
     """0/1 columns ``names`` over all positions of ``axis`` (series_id, n) plus ``tail`` rows."""
-    positions = axis.select("series_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n") + tail)).alias("t"))
+    start, inside = count_up(F.col("n") + (tail - 1), "_at")
+    positions = axis.select("series_id", "n", start).select("series_id", "n", inside).select("series_id", (F.col("_at") + 1).alias("t"))
     hits = dummies.where(F.col("name").isin(list(names))).withColumnRenamed("dummy_t", "t")
     wide = hits.groupBy("series_id", "t").pivot("name", list(names)).agg(F.lit(1.0))
     return positions.join(wide, ["series_id", "t"], "left").fillna(0.0, list(names))

@@ -16,9 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.operators.estimate import PAIRS, differenced
+from panelwright.operators.estimate import differenced
 from panelwright.operators.panel import lengths
 from panelwright.plans.blocks import attach, block_rows, with_lags
+from panelwright.plans.session import checkpoint
 
 SERIES = ["series_id", "d", "sd"]
 MODEL_BLOCK = ["series_id", "model_id", "blk"]
@@ -65,23 +66,33 @@ def fitted_residuals(
     s: int = 1,
     exog: DataFrame | None = None,
     exog_columns: Sequence[str] = (),
-    max_p: int = 5,
-    max_sp: int = 2,
+    max_p: int | None = None,
+    max_sp: int | None = None,
     ma: bool = True,
-    pairs: Sequence[tuple[int, int]] = PAIRS,
+    pairs: Sequence[tuple[int, int]] | None = None,
 ) -> DataFrame:
     """``series_id, model_id, t, ts, y, y_hat, w, w_hat, resid`` for rows a model reaches.
 
     One-step predictions use the actual history, so undoing the differences of
     the fit amounts to ``y_hat = y - resid``.  ``ma=False`` skips the recursion
-    for models without MA terms.
+    for models without MA terms.  Outlier dummies of a search count where ``fits``
+    has their positions.  The largest AR orders are measured unless they
+    are given; a model above given ones fails the job.
     """
+    if max_p is None or max_sp is None or pairs is None:
+        fits = checkpoint(fits)  # measured and used: not fitted twice
+        most = fits.agg(F.max("p"), F.max("sp")).first()
+        max_p = (most[0] or 0) if max_p is None else max_p
+        max_sp = (most[1] or 0) if max_sp is None else max_sp
+    beyond = (F.col("p") > max_p) | ((F.col("sp") > max_sp) & F.lit(s > 1))
+    fits = fits.withColumn("p", F.when(beyond, F.raise_error(F.lit(f"a model has more AR terms than {max_p} and {max_sp}")).cast("int")).otherwise(F.col("p")))
     rows = differenced(panel, fits, s, exog, pairs).where("w IS NOT NULL")
     lags = {f"_ar{i}": ("w", i) for i in range(1, max_p + 1)}
     if s > 1:
         lags |= {f"_sar{k}": ("w", s * k) for k in range(1, max_sp + 1)}
     lagged = with_lags(rows.drop("n"), lags, SERIES)
-    models = fits.select(*SERIES, "model_id", "p", "q", "sp", "sq", "c", "trend", "ar", "sar", "ma", "sma", "beta")
+    marks = ["dummies"] if "dummies" in fits.columns else []
+    models = fits.select(*SERIES, "model_id", "p", "q", "sp", "sq", "c", "trend", "ar", "sar", "ma", "sma", "beta", *marks)
     both = attach(lagged, models.join(lengths(panel), "series_id"), SERIES)
     linear = F.coalesce("c", F.lit(0.0)) + F.coalesce("trend", F.lit(0.0))
     for i in range(1, max_p + 1):
@@ -90,6 +101,9 @@ def fitted_residuals(
         linear = linear + F.coalesce(F.try_element_at("sar", F.lit(k)) * F.col(f"_sar{k}"), F.lit(0.0))
     for i, c in enumerate(exog_columns, 1):
         linear = linear + F.try_element_at("beta", F.lit(i)) * F.col(c)
+    if marks:
+        place = F.coalesce(F.array_position("dummies", F.col("t")), F.lit(0)).cast("int")
+        linear = linear + F.when(place > 0, F.try_element_at("beta", place + len(exog_columns))).otherwise(0.0)
     first = F.greatest(F.col("p"), F.col("q"), F.col("sp") * s, F.col("sq") * s)
     both = both.withColumn("_u", F.when(F.col("tw") > first, F.col("w") - linear))
     if ma:

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from panelwright.functions.criteria import log_likelihood, model_criterion, residual_variance
-from panelwright.operators.differencing import difference_by_orders
-from panelwright.operators.estimate import PAIRS, SPEC_COLUMNS, fit_packed, pack_series, with_criteria
+from panelwright.operators.differencing import difference_by_orders, order_pairs
+from panelwright.operators.estimate import SPEC_COLUMNS, fit_packed, pack_series, with_criteria
 from panelwright.operators.longfit import fit_long
 from panelwright.operators.outliers import detect_outliers
 from panelwright.operators.panel import check_settings, is_constant, lengths, model_label
-from panelwright.operators.unitroot import LONGEST, ndiffs, nsdiffs
-from panelwright.plans.blocks import attach, block_rows, restrict
+from panelwright.operators.unitroot import ndiffs, nsdiffs
+from panelwright.plans.blocks import attach, restrict
 from panelwright.plans.session import checkpoint
 
 MAX_MODELS = 94
@@ -73,7 +73,7 @@ def select_orders(
     seasonal_test: str = "ocsb",
     exog: DataFrame | None = None,
     exog_columns: Sequence[str] = (),
-    longest: int = LONGEST,
+    longest: int | None = None,
 ) -> DataFrame:
     """Differencing orders ``d, sd`` per series: given ones, or the tested ones.
 
@@ -94,7 +94,7 @@ def select_orders(
     if d is not None:
         return orders.select("series_id", "n", F.lit(d).alias("d"), "sd")
     with_sd = attach(panel.select("series_id", "ts", "t", "y"), orders).drop("n", "blk")
-    found = ndiffs(with_sd, maxd, "sd", s, "y", longest=longest)
+    found = ndiffs(with_sd, maxd, "sd", s, "y", longest=longest, max_sd=max(1, D or 0))
     orders = checkpoint(orders.join(found, "series_id", "left").withColumn("d", F.coalesce("d", F.lit(maxd))))
     if exog is not None:
         orders = _lower_for_exog(panel, orders, "d", s, exog, exog_columns)
@@ -108,7 +108,7 @@ def _lower_for_exog(panel: DataFrame, orders: DataFrame, which: str, s: int, exo
     known = exog if "t" in exog.columns else exog.join(panel.select("series_id", "ts", "t"), ["series_id", "ts"])
     long = known.unpivot(["series_id", "t"], list(columns), "variable", "y").withColumn("y", F.col("y").cast("double"))
     rows = attach(long, orders.select("series_id", "n", "d", "sd"), ["series_id"]).drop("n", "blk")
-    flat = is_constant(difference_by_orders(rows, PAIRS, s, "y", "w", keys), ["w"], keys).where("is_constant")
+    flat = is_constant(difference_by_orders(rows, order_pairs(orders), s, "y", "w", keys), ["w"], keys).where("is_constant")
     flagged = flat.select("series_id").distinct().withColumn("_flat", F.lit(True))
     lower = F.when(F.col("_flat") & (F.col(which) > 0), F.col(which) - 1).otherwise(F.col(which))
     return orders.join(flagged, "series_id", "left").withColumn(which, lower).drop("_flat")
@@ -315,7 +315,7 @@ def _best(scored: DataFrame) -> DataFrame:
     )
 
 
-def stepwise_naive(state: DataFrame, fitter: Fitter, max_order: int = 5, joint: bool = False) -> DataFrame:
+def stepwise_naive(state: DataFrame, fitter: Fitter, max_order: int = 5, joint: bool = False, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Rounds of neighbours around the best model until no round lowers the criterion."""
     base = state.drop(*ORDERS)
     seeds = checkpoint(fitter.specs(seed_candidates(base, fitter.s), penalty=False))
@@ -324,7 +324,7 @@ def stepwise_naive(state: DataFrame, fitter: Fitter, max_order: int = 5, joint:
     drop = [*ORDERS]
     best = checkpoint(_best(named.join(fits.drop(*drop), ["series_id", "model_id"])))
     active = best
-    for _ in range(MAX_ROUNDS):
+    for _ in range(max_rounds):
         centre = active.select("series_id", *ORDERS).join(base, "series_id")
         found = neighbours_nonseasonal(centre, max_order)
         if fitter.s > 1:
@@ -462,7 +462,9 @@ def auto_sarima(
     search: str = "stepwise",
     lam: float | None = None,
     alpha: float | None = None,
-    longest: int = LONGEST,
+    longest: int | None = None,
+    max_models: int = MAX_MODELS,
+    max_rounds: int = MAX_ROUNDS,
 ) -> DataFrame:
     """Choose and fit a model for every series; one row of coefficients and criteria each."""
     check_settings(objective, criterion, "kpss", seasonal_test, search, s, lam, alpha, [max_p, max_d, max_q, max_sp, max_sd, max_sq])
@@ -475,23 +477,25 @@ def auto_sarima(
     flat = checkpoint(constant_series_model(panel, mean))
     varied = restrict(panel, lengths(panel).join(flat.select("series_id"), "series_id", "left_anti"))
     orders = checkpoint(select_orders(varied, s, d, D, max_d, seasonal_test, exog, exog_columns, longest))
+    used = sorted({*order_pairs(orders), *order_pairs(flat)})
     rules = constant_rules(orders, mean, drift)
     rows = attach(varied.select("series_id", "ts", "t", "y"), orders.select("series_id", "n", "d", "sd")).drop("n", "blk")
-    level = is_constant(difference_by_orders(rows, PAIRS, s), ["w"]).where("is_constant").select("series_id")
+    level = is_constant(difference_by_orders(rows, used, s), ["w"]).where("is_constant").select("series_id")
     level = checkpoint(level.join(orders.where("d + sd > 0"), "series_id", "left_semi"))
     state = checkpoint(order_bounds(rules.join(level, "series_id", "left_anti"), s, max_p, max_q, max_sp, max_sq))
     fixed = constant_diff_model(orders.join(level, "series_id").drop("n"), exog is not None).unionByName(flat)
 
     every = orders.select("series_id", "d", "sd").unionByName(flat.select("series_id", "d", "sd"))
-    packed = pack_series(panel, every, s, exog, exog_columns)
+    packed = pack_series(panel, every, s, exog, exog_columns, used)
+    dummies = None
     if outliers:
-        short = orders.where(F.col("n") <= block_rows(panel))
-        packed = packed.join(_dummy_positions(varied, short, s, exog, exog_columns), "series_id", "left")
+        dummies = checkpoint(_dummy_positions(varied, orders, s, exog, exog_columns))
+        packed = packed.join(dummies, "series_id", "left")
     packed = checkpoint(packed)
 
     def fit(spec: DataFrame) -> DataFrame:
         fits = fit_packed(packed, spec, s, exog_columns)
-        long_fits = fit_long(panel, spec, s, exog, exog_columns)
+        long_fits = fit_long(panel, spec, s, exog, exog_columns, pairs_=used, dummies=dummies)
         return fits if long_fits is None else fits.unionByName(long_fits)
 
     fitter = Fitter(fit, s, criterion, objective, lam, alpha, assert_stationary, assert_invertible)
@@ -503,16 +507,18 @@ def auto_sarima(
     offset = F.when(sigma2 > 0, -2.0 * log_likelihood(F.col("n_resid"), F.col("sse"), sigma2) - length * F.log(sigma2)).otherwise(0.0)
     fitter.offsets = checkpoint(base_fits.select("series_id", offset.alias("offset")))
     method = {"stepwise": stepwise, "stepwiseNaive": stepwise_naive, "grid": grid_search}[search]
-    chosen = method(state, fitter) if search == "stepwise" else method(state, fitter, max_order)
-    if fixed.isEmpty():
-        return chosen
-    return chosen.unionByName(simple.score(fixed).select(*chosen.columns))
+    limits = {"stepwise": {"max_models": max_models}, "stepwiseNaive": {"max_order": max_order, "max_rounds": max_rounds}, "grid": {"max_order": max_order}}
+    chosen = method(state, fitter, **limits[search])
+    if not fixed.isEmpty():
+        chosen = chosen.unionByName(simple.score(fixed).select(*chosen.columns))
+    # positions of the dummies, whose coefficients follow those of the regressors in beta
+    return chosen if dummies is None else chosen.join(dummies, "series_id", "left")
 
 
 def _dummy_positions(panel: DataFrame, orders: DataFrame, s: int, exog: DataFrame | None, exog_columns: Sequence[str]) -> DataFrame:
     """Positions of outlying null-model residuals per series, one detection per pair of orders."""
     parts = []
-    for d, D in PAIRS:
+    for d, D in order_pairs(orders):
         wanted = restrict(panel, orders.where((F.col("d") == d) & (F.col("sd") == D)))
         parts.append(detect_outliers(wanted, d, D, s, exog, exog_columns))
     found = parts[0]

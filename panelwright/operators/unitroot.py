@@ -23,9 +23,6 @@ from panelwright.operators.panel import SEASONAL_TESTS
 from panelwright.plans.blocks import KEYS, attach, block_window, drop_halo, running_sums, with_earlier, with_halo, with_lags
 from panelwright.plans.session import checkpoint
 
-LONGEST = 100_000
-
-
 def _block_summaries(rows: DataFrame, value: str, lags: int, keys: Sequence[str]) -> DataFrame:
     """Per block: rows, mean, and lag products around the block mean.
 
@@ -46,18 +43,23 @@ def _block_summaries(rows: DataFrame, value: str, lags: int, keys: Sequence[str]
     return local.groupBy(*keys, "blk").agg(*sums)
 
 
+def longest_series(panel: DataFrame) -> int:
+    """The largest position of any series."""
+    return panel.agg(F.max("t")).first()[0] or 1
+
+
 def kpss(
     panel: DataFrame,
     regression: str = "c",
     lags: str | int = "auto",
     value: str = "y",
     keys: Sequence[str] = KEYS,
-    longest: int = LONGEST,
+    longest: int | None = None,
 ) -> DataFrame:
     """KPSS statistic, lags used, p-value and critical values, one row per series.
 
-    ``longest`` bounds the rows of a series for the automatic lag rule (it fixes
-    the number of lag columns); a longer series fails the job and asks for more.
+    The automatic lag rule needs as many lag columns as its longest series asks
+    for; ``longest`` is measured unless it is given.
 
     With bandwidth L the Bartlett sum equals the squared moving sums over L + 1
     residuals, divided by L + 1.  A moving sum is the running sum minus itself
@@ -67,6 +69,8 @@ def kpss(
     critical = kpss_critical(regression)
     if isinstance(lags, str) and lags not in ("auto", "legacy"):
         raise ValueError("lags must be 'auto', 'legacy' or an integer")
+    if lags == "auto" and longest is None:
+        longest = longest_series(panel)
     panel = panel.select(*keys, "t", F.col(value).alias("y"))
     if regression == "ct":
         time = F.col("t").cast("double")
@@ -144,15 +148,18 @@ def ndiffs(
     s: int = 1,
     value: str = "y",
     keys: Sequence[str] = KEYS,
-    longest: int = LONGEST,
+    longest: int | None = None,
+    max_sd: int = 1,
 ) -> DataFrame:
     """Smallest d whose (d, D)-difference passes KPSS at 5 %, else ``maxd``.
 
-    All d are tested in one job.  ``D`` is a number or the name of a column.
+    All d are tested in one job.  ``D`` is a number, or the name of a column with
+    values up to ``max_sd``.
     """
     keys = list(keys)
     seasonal = F.lit(D) if isinstance(D, int) else F.col(D)
-    orders = [D] if isinstance(D, int) else [0, 1]
+    orders = [D] if isinstance(D, int) else range(max_sd + 1)
+    longest = longest_series(panel) if longest is None else longest
     rows = panel.select(*keys, "t", F.col(value).alias("y"), seasonal.cast("int").alias("sd")).withColumn(
         "d", F.explode(F.array(*[F.lit(i) for i in range(maxd + 1)]))
     )
@@ -489,7 +496,7 @@ def auto_difference(
     s: int = 1,
     seasonal_test: str = "ocsb",
     maxd: int = 2,
-    longest: int = LONGEST,
+    longest: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Difference every column of ``series_id, ts, t, columns`` by its own tested orders.
 

@@ -43,6 +43,8 @@ def number_rows(df: DataFrame, keys: Sequence[str] = KEYS, order: str = "ts", na
         cell = F.to_date(order)
     else:
         raise TypeError(f"{order} must be a date or a timestamp, not {kind.simpleString()}")
+    missing = F.raise_error(F.lit(f"a row has no {order}"))
+    cell = F.when(F.col(order).isNull(), missing.cast("int" if isinstance(kind, T.DateType) else "date")).otherwise(cell)
     rows = df.withColumn("_cell", cell)
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -60,6 +62,13 @@ def number_rows(df: DataFrame, keys: Sequence[str] = KEYS, order: str = "ts", na
     )
 
 
+def count_up(last: Column, name: str, spread: int = 4096) -> list[Column]:
+    """Two steps that explode 0..last into rows through ranges of ``spread``, so that no row holds a long array."""
+    start = F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(spread).cast("bigint"))).alias("_from")
+    inside = F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (spread - 1), last))).alias(name)
+    return [start, inside]
+
+
 def own_block(df: DataFrame) -> Column:
     return F.expr(f"(t - 1) div {block_rows(df)}")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelwright.plans.blocks import number_rows
+from panelwright.plans.blocks import count_up, number_rows
 
 
 def read_series(
@@ -26,6 +26,14 @@ def read_series(
     return number_rows(panel)
 
 
+def series_key(keys: Sequence[Column]) -> Column:
+    """One string per combination of keys; of several, separators are escaped, and null differs from every text."""
+    if len(keys) == 1:
+        return F.coalesce(keys[0].cast("string"), F.lit("\\N"))
+    escaped = [F.replace(F.replace(k.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for k in keys]
+    return F.concat_ws("|", *[F.coalesce(e, F.lit("\\N")) for e in escaped])
+
+
 def from_table(
     df: DataFrame,
     keys: Sequence[str],
@@ -38,16 +46,16 @@ def from_table(
     Without ``ts`` a yearly axis is made: row i of a series, in the order of
     ``order_by``, falls on 1 January of year i.
     """
-    key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    key = series_key([F.col(k) for k in keys])
     if ts is not None:
         return number_rows(df.select(key.alias("series_id"), F.col(ts).alias("ts"), F.col(value).cast("double").alias("y")))
     if order_by is None:
         raise ValueError("rows have no order of their own: name the column to order by")
-    # a made-up yearly axis ends in year 9999, which bounds the rows of a series
+    # a made-up yearly axis ends in year 9999, which bounds the rows of a series: more fail the job
     rank = F.row_number().over(Window.partitionBy("series_id").orderBy("_order"))
     return (
         df.select(key.alias("series_id"), F.col(order_by).alias("_order"), F.col(value).cast("double").alias("y"))
-        .withColumn("t", rank.cast("bigint"))
+        .withColumn("t", F.when(rank <= 9999, rank).otherwise(F.raise_error(F.lit("a yearly axis ends in year 9999: give dates")).cast("int")).cast("bigint"))
         .select("series_id", F.make_date(F.col("t").cast("int"), F.lit(1), F.lit(1)).alias("ts"), "y", "t")
     )
 
@@ -68,7 +76,7 @@ def panel_from_facts(
     """
     kind = "timestamp_ntz" if step in ("second", "minute", "hour") else "date"
     bucket = F.date_trunc(step, F.col(ts)).cast(kind)
-    panel = facts.groupBy(F.concat_ws("|", *[k.cast("string") for k in keys]).alias("series_id"), bucket.alias("ts")).agg(
+    panel = facts.groupBy(series_key(keys).alias("series_id"), bucket.alias("ts")).agg(
         value.alias("y")
     )
     if fill:
@@ -79,5 +87,7 @@ def panel_from_facts(
 def fill_calendar(panel: DataFrame, step: str) -> DataFrame:
     """Add missing steps of a regular axis with value 0."""
     spans = panel.groupBy("series_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    axis = spans.selectExpr("series_id", f"explode(sequence(lo, hi, interval 1 {step})) AS ts")
+    kind = panel.schema["ts"].dataType.simpleString()
+    start, inside = count_up(F.expr(f"timestampdiff({step}, lo, hi)"), "_step")
+    axis = spans.select("*", start).select("*", inside).select("series_id", F.expr(f"cast(timestampadd({step}, _step, lo) AS {kind})").alias("ts"))
     return axis.join(panel, ["series_id", "ts"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
