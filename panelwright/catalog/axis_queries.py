@@ -210,31 +210,31 @@ def future_hours_query(spark: SparkSession, sf: str) -> DataFrame:
     return A.future_timestamps(axis, 5).select("series_id", F.col("h").cast("bigint").alias("h"), "ts")
 
 
-RETURNED = P.supplier_months_sql("q", "sum(l_quantity) / 100.0::DOUBLE", "l_returnflag = 'R'")
+PAID = P.paid_months_sql("q")
 
 
-def returned_quantity(spark: SparkSession, sf: str) -> DataFrame:
-    return P.supplier_months(spark, sf, F.sum("l_quantity") / 100.0, "l_returnflag = 'R'")
-
-
-@query("align", f"WITH {SUP}, {RETURNED} SELECT p.series_id, p.ts, {r('p.y')} AS revenue, {r('q.y')} AS returned FROM p JOIN q USING (series_id, ts)")
+@query("align", f"WITH {SUP}, {PAID} SELECT p.series_id, p.ts, {r('p.y')} AS revenue, {r('q.y')} AS paid FROM p JOIN q USING (series_id, ts)")
 def align_query(spark: SparkSession, sf: str) -> DataFrame:
     revenue = P.supplier_months(spark, sf).select("series_id", "ts", F.col("y").alias("revenue"))
-    returned = returned_quantity(spark, sf).select("series_id", "ts", F.col("y").alias("returned"))
-    return rounded(A.align([revenue, returned]), "revenue", "returned")
+    paid = P.paid_months(spark, sf).select("series_id", "ts", F.col("y").alias("paid"))
+    return rounded(A.align([revenue, paid]), "revenue", "paid")
 
 
-@query("join_exog", f"WITH {SUP}, {RETURNED} SELECT p.series_id, p.ts, p.t, {r('p.y')} AS y, {r('q.y')} AS x1 FROM p JOIN q USING (series_id, ts)")
+@query("join_exog", f"WITH {SUP}, {PAID} SELECT p.series_id, p.ts, p.t, {r('p.y')} AS y, {r('q.y')} AS x1 FROM p JOIN q USING (series_id, ts)")
 def join_exog_query(spark: SparkSession, sf: str) -> DataFrame:
-    exog = returned_quantity(spark, sf).select("series_id", "ts", F.col("y").alias("x1"))
+    exog = P.paid_months(spark, sf).select("series_id", "ts", F.col("y").alias("x1"))
     return rounded(A.join_exog(P.supplier_months(spark, sf), exog), "y", "x1").select("series_id", "ts", "t", "y", "x1")
 
 
-@query("validate_exog", f"""WITH {SUP}, {RETURNED}, a AS (SELECT series_id, min(ts) AS lo, max(ts) AS hi, count(*) AS n FROM p GROUP BY 1),
- b AS (SELECT series_id, min(ts) AS lo, max(ts) AS hi, count(*) AS n FROM q GROUP BY 1)
- SELECT series_id, a.lo = b.lo AS same_start, a.hi <= b.hi AS long_enough, true AS same_step FROM a JOIN b USING (series_id)""")
+AXIS = "SELECT series_id, min(ts) AS lo, max(ts) AS hi, min(gap) AS step FROM (SELECT *, datediff('month', lag(ts) OVER (PARTITION BY series_id ORDER BY ts), ts) AS gap FROM {}) GROUP BY 1"
+
+
+# the regressor of every third supplier has a quarterly axis
+@query("validate_exog", f"""WITH {SUP}, {P.paid_months_sql("q", quarterly="l_suppkey % 3 = 0")}, a AS ({AXIS.format("p")}), b AS ({AXIS.format("q")})
+ SELECT series_id, a.lo = b.lo AS same_start, a.hi <= b.hi AS long_enough, a.step = b.step AS same_step FROM a JOIN b USING (series_id)""")
 def validate_exog_query(spark: SparkSession, sf: str) -> DataFrame:
-    return A.validate_exog(A.identify_granularity(P.supplier_months(spark, sf)), A.identify_granularity(returned_quantity(spark, sf)))
+    exog = P.paid_months(spark, sf, "l_suppkey % 3 <> 0", "month").unionByName(P.paid_months(spark, sf, "l_suppkey % 3 = 0", "quarter"))
+    return A.validate_exog(A.identify_granularity(P.supplier_months(spark, sf)), A.identify_granularity(exog))
 
 
 @query("exog_horizon_check", f"""WITH {SUP}, cut AS (SELECT series_id, max(ts) AS last FROM p WHERE ts <= DATE '1998-06-01' GROUP BY 1),

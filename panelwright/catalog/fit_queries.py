@@ -83,6 +83,24 @@ def fit_ml_query(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(fits.select("series_id", F.col("ar")[0].alias("phi"), "sigma2"), "phi", "sigma2")
 
 
+@query("fit_bilevel_ar1", f"WITH {AR1} {AR1_OUT}")
+def fit_bilevel_query(spark: SparkSession, sf: str) -> DataFrame:
+    panel = P.supplier_months(spark, sf)
+    return ar1_view(E.fit_models(panel, ar1_spec(panel, objective="bilevel"), pairs=[(1, 0)]))
+
+
+# without lags the fits are the mean and the median
+@query("fit_location_models", f"""WITH {SUP}, c AS (SELECT series_id, avg(y) AS mean, median(y) AS mid FROM p GROUP BY 1)
+ SELECT series_id, {r('var_pop(y) * count(*)', 4)} AS least_squares, {r('sum(abs(y - mid))', 4)} AS least_absolute FROM p JOIN c USING (series_id) GROUP BY 1""")
+def fit_location_query(spark: SparkSession, sf: str) -> DataFrame:
+    panel = P.supplier_months(spark, sf)
+    spec = E.specify(panel).drop("objective").withColumn("objective", F.explode(F.array(F.lit("mse"), F.lit("mae"))))
+    fits = E.fit_models(panel, spec.withColumn("model_id", F.col("objective")).select(*E.SPEC_COLUMNS), pairs=[(0, 0)])
+    of = lambda name, column: F.max(F.when(F.col("objective") == name, F.col(column)))
+    out = fits.groupBy("series_id").agg(of("mse", "sse").alias("least_squares"), of("mae", "sae").alias("least_absolute"))
+    return rounded(out, "least_squares", "least_absolute", digits=4)
+
+
 CROSS = f"{DIF}, lagged AS (SELECT series_id, w, lag(w) OVER (PARTITION BY series_id ORDER BY t) AS w1 FROM dif), m AS (SELECT series_id, sum(w * w1) AS xy, sum(w1 * w1) AS xx FROM lagged WHERE w1 IS NOT NULL GROUP BY 1)"
 
 

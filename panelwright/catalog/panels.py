@@ -25,6 +25,12 @@ def supplier_months(spark: SparkSession, sf_dir: str, value: Column | None = Non
     return panel_from_facts(table(spark, sf_dir, "lineitem").where(where), [F.col("l_suppkey")], "l_shipdate", "month", value, fill=True)
 
 
+def paid_months(spark: SparkSession, sf_dir: str, where: str = "true", step: str = "month") -> DataFrame:
+    """Price of every supplier's items by the month (or quarter) 45 days after shipping, in about 100,000: a regressor on a later axis."""
+    items = table(spark, sf_dir, "lineitem").where(where).select("l_suppkey", "l_extendedprice", F.date_add("l_shipdate", 45).alias("paid"))
+    return panel_from_facts(items, [F.col("l_suppkey")], "paid", step, F.sum("l_extendedprice") / SUPPLIER_UNIT, fill=True)
+
+
 def flag_months(spark: SparkSession, sf_dir: str, value: Column | None = None) -> DataFrame:
     """Monthly revenue by return flag and line status, in about millions."""
     value = F.expr(REVENUE) / MILLION if value is None else value
@@ -88,6 +94,15 @@ def supplier_months_sql(name: str = "p", value: str = f"{SQL_REVENUE} / {SUPPLIE
     )
 
 
+def paid_months_sql(name: str = "p", quarterly: str = "false") -> str:
+    """``quarterly`` says which suppliers have a quarterly axis."""
+    paid = "CAST(l_shipdate AS DATE) + 45"
+    return f"""{name}_raw AS (SELECT CAST(l_suppkey AS VARCHAR) AS series_id, CAST(CASE WHEN {quarterly} THEN date_trunc('quarter', {paid}) ELSE date_trunc('month', {paid}) END AS DATE) AS ts,
+   CASE WHEN {quarterly} THEN 3 ELSE 1 END AS months, sum(l_extendedprice) / {SUPPLIER_UNIT}::DOUBLE AS y FROM lineitem GROUP BY 1, 2, 3),
+ {name}_axis AS (SELECT series_id, CAST(lo + to_months(CAST(months * i AS INTEGER)) AS DATE) AS ts FROM (SELECT series_id, months, min(ts) AS lo, unnest(range(0, datediff('month', min(ts), max(ts)) // months + 1)) AS i FROM {name}_raw GROUP BY 1, 2)),
+ {name}_full AS (SELECT a.series_id, a.ts, coalesce(r.y, 0.0::DOUBLE) AS y FROM {name}_axis a LEFT JOIN {name}_raw r USING (series_id, ts)), {name} AS ({NUMBERED.format(name + "_full")})"""
+
+
 def flag_months_sql(name: str = "p", value: str = f"{SQL_REVENUE} / {MILLION}::DOUBLE") -> str:
     return _cte(
         f"SELECT l_returnflag || '|' || l_linestatus AS series_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS ts, {value} AS y FROM lineitem GROUP BY 1, 2",

@@ -193,11 +193,32 @@ def _auto(panel, **options):
     return run
 
 
-query("grid_search")(_auto(P.event_days, s=7, search="grid", max_p=2, max_q=2, max_sp=1, max_sq=1, max_order=3))
+query("grid_search")(_auto(P.event_days, s=7, search="grid"))
 query("stepwise_naive")(_auto(P.flag_months, s=12, search="stepwiseNaive"))
 query("stepwise")(_auto(P.flag_months, s=12))
 query("auto_sarima_nonseasonal")(_auto(P.nation_months, s=1, criterion="bic"))
-query("auto_sarima_outliers")(_auto(P.flag_months, s=1, outliers=True, max_p=2, max_q=2))
+query("auto_sarima_outliers")(_auto(P.flag_months, s=12, outliers=True))
+
+# with one AR lag at most and no constant, every search ends at the better of a random walk and an AR(1)
+SEARCH_AR1 = f"""WITH {CROSS}, z AS (SELECT series_id, max(n) AS n, sum(w * w) AS ww FROM dif GROUP BY 1),
+ tail AS (SELECT series_id, sum(w * w) AS ww1 FROM dif WHERE t > 2 GROUP BY 1),
+ c AS (SELECT series_id, 0 AS p, NULL AS phi, ww AS sse, (n - 1) * ln(ww / (n - 1)) + 2 + 4.0::DOUBLE / (n - 3) AS ic FROM z
+   UNION ALL SELECT series_id, 1, xy / xx, ww1 - xy * xy / xx, (n - 1) * ln((ww1 - xy * xy / xx) / (n - 3)) + 4 + 12.0::DOUBLE / (n - 4) FROM z JOIN tail USING (series_id) JOIN m USING (series_id))
+ SELECT series_id, CAST(arg_min(p, ic) AS INTEGER) AS p, {r('arg_min(phi, ic)', 5)} AS phi, {r('arg_min(sse, ic)', 5)} AS sse FROM c GROUP BY 1"""
+
+
+def _search_ar1(search: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        panel = P.supplier_months(spark, sf)
+        best = S.auto_sarima(panel, d=1, max_p=1, max_q=0, mean=False, drift=False, search=search)
+        phi = F.when(F.col("p") == 1, F.try_element_at("ar", F.lit(1)))
+        return rounded(best.select("series_id", F.col("p").cast("int").alias("p"), phi.alias("phi"), "sse"), "phi", "sse", digits=5)
+
+    return run
+
+
+for _search in ("grid", "stepwiseNaive", "stepwise"):
+    query(f"search_ar1_{_search.lower()}", SEARCH_AR1)(_search_ar1(_search))
 
 
 @query("is_constant_after_difference", f"WITH {SUP}, x AS (SELECT series_id, y - lag(y) OVER (PARTITION BY series_id ORDER BY t) AS w FROM p) SELECT series_id, min(w) = max(w) AS is_constant FROM x WHERE w IS NOT NULL GROUP BY 1")

@@ -15,21 +15,21 @@ def by_series(df):
     return {row["series_id"]: row for row in df.collect()}
 
 
-def test_series_files(series):
-    rows = by_series(series.groupBy("series_id").agg(F.count("y").alias("n"), F.min_by("y", "t").alias("first"), F.max_by("y", "t").alias("last")))
+def test_series_files(published):
+    rows = by_series(published.groupBy("series_id").agg(F.count("y").alias("n"), F.min_by("y", "t").alias("first"), F.max_by("y", "t").alias("last")))
     assert (rows["air"].n, rows["air"].first, rows["air"].last) == (204, 3.526591, 19.43174)
     assert (rows["gdp"].n, rows["gdp"].first, rows["gdp"].last) == (344, 2260.807, 27944.5)
     assert (rows["nrou"].n, rows["nrou"].first) == (344, 5.25505256652832)
 
 
-def test_split(series):
-    sizes = by_series(panel.split_train_test(series).groupBy("series_id").agg(F.count_if("is_train").alias("a"), F.count_if(~F.col("is_train")).alias("b")))
+def test_split(published):
+    sizes = by_series(panel.split_train_test(published).groupBy("series_id").agg(F.count_if("is_train").alias("a"), F.count_if(~F.col("is_train")).alias("b")))
     assert (sizes["air"].a, sizes["air"].b) == (163, 41)
     assert (sizes["gdp"].a, sizes["gdp"].b) == (275, 69)
 
 
-def test_kpss(series):
-    rows = by_series(unitroot.kpss(series))
+def test_kpss(published):
+    rows = by_series(unitroot.kpss(published))
     for name, stat, lags in (("air", 2.01312564, 9), ("log", 2.11818897, 9), ("gdp", 2.90119724, 11), ("nrou", 2.09584042, 11)):
         assert rows[name].stat == pytest.approx(stat, abs=1e-7)
         assert (rows[name].lags, rows[name].p_value) == (lags, 0.01)
@@ -49,26 +49,21 @@ def test_kpss_seed_42(spark):
         unitroot.kpss(spark.createDataFrame(rows, "series_id string, t long, y double"), "invalid")
 
 
-def test_kpss_keeps_long_series_exact_or_fails(series):
-    with pytest.raises(Exception, match="longest"):
-        unitroot.kpss(series, longest=250).collect()
-
-
-def test_ocsb(series):
-    rows = by_series(unitroot.ocsb(series, 12))
+def test_ocsb(published):
+    rows = by_series(unitroot.ocsb(published, 12))
     assert rows["air"].stat == pytest.approx(-1.0402140896188212) and rows["air"].sd == 1
     assert rows["log"].stat == pytest.approx(-3.247584501115398) and rows["log"].sd == 0
     assert rows["gdp"].stat == pytest.approx(-16.589586845196475) and rows["gdp"].sd == 0
     assert rows["nrou"].sd == 0
 
 
-def test_orders(series):
-    d = {k: r.d for k, r in by_series(unitroot.ndiffs(series, 2, 0, 12)).items()}
+def test_orders(published):
+    d = {k: r.d for k, r in by_series(unitroot.ndiffs(published, 2, 0, 12)).items()}
     assert d == {"air": 1, "log": 1, "gdp": 2, "nrou": 2}
-    assert by_series(unitroot.nsdiffs(series, 12, "seas"))["air"].sd == 1
-    assert by_series(unitroot.nsdiffs(series, 12, "ch"))["air"].sd == 0
+    assert by_series(unitroot.nsdiffs(published, 12, "seas"))["air"].sd == 1
+    assert by_series(unitroot.nsdiffs(published, 12, "ch"))["air"].sd == 0
     with pytest.raises(ValueError):
-        unitroot.nsdiffs(series, 12, "hegy")
+        unitroot.nsdiffs(published, 12, "hegy")
 
 
 def test_difference_coefficients():
@@ -79,8 +74,8 @@ def test_difference_coefficients():
     assert diff_coefficients(1, 1, 1) == [1.0, -2.0, 1.0]
 
 
-def test_seasonal_model_criteria(series):
-    log = series.where("series_id = 'log'")
+def test_seasonal_model_criteria(published):
+    log = published.where("series_id = 'log'")
     row = estimate.fit_models(log, estimate.specify(log, 3, 0, 1, 1, 1, 1, 12), 12).collect()[0]
     assert row.k == 8
     assert row.aic == pytest.approx(-1063.1519532534248, abs=1e-6)
@@ -91,8 +86,8 @@ def test_seasonal_model_criteria(series):
         model_criterion("mse")
 
 
-def test_objectives(series):
-    log = series.where("series_id = 'log'")
+def test_objectives(published):
+    log = published.where("series_id = 'log'")
     spec = estimate.specify(log, 1, 0, 1, 0, 1, 1, 12)
     every = spec
     for name, alpha in (("ml", None), ("bilevel", None), ("mae", None), ("stable", None), ("elastic_net", 0.0)):
@@ -105,8 +100,8 @@ def test_objectives(series):
     assert fits["elastic_net"].ar != mse.ar and fits["elastic_net"]["lambda"] > 0
 
 
-def test_given_penalty_is_used(series):
-    log = series.where("series_id = 'log'")
+def test_given_penalty_is_used(published):
+    log = published.where("series_id = 'log'")
     spec = estimate.specify(log, 1, 1, objective="elastic_net", lam=0.1, alpha=1.0)
     fit = estimate.fit_models(log, spec).collect()[0]
     assert fit["lambda"] == 0.1

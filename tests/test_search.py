@@ -9,8 +9,8 @@ from panelwright.operators.kernel import fit_candidates
 
 
 @pytest.fixture(scope="module")
-def air(series):
-    return series.where("series_id = 'air'").coalesce(1)
+def air(published):
+    return published.where("series_id = 'air'").coalesce(1)
 
 
 def test_grid(air):
