@@ -15,6 +15,8 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,28 +44,55 @@ def _least(array: Column, by: int) -> Column:
     return F.zip_with(array, _shifted(array, by), lambda x, y: F.least(x, y))
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``: an array of hash * 2^31 + (2^31 - 1 - position), in order of position.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value`` evaluated once: a lambda over an array that holds it alone."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _windows_of(grams: Column) -> Column:
+    """The rightmost least gram of every window, with its position."""
+
+    def chosen(placed: Column) -> Column:
+        least, by = placed, 1
+        windows = F.greatest(F.size(placed) - (WINDOW - 1), F.least(F.size(placed), F.lit(1)))
+        steps = []
+        while by < WINDOW:
+            steps.append(by)
+            by *= 2
+
+        def narrowed(array: Column, left: list[int]) -> Column:
+            if not left:
+                return F.array_distinct(F.slice(array, F.lit(1), windows))
+            return let(_least(array, left[0]), lambda m: narrowed(m, left[1:]))
+
+        return narrowed(least, steps)
+
+    return let(F.transform(grams, lambda h, i: F.shiftleft(h, 31) + (F.lit(PRIME).cast("long") - i)), chosen)
 
-    Every step is a column of its own, used twice by the next, so that no step is computed again
-    for each element.
+
+def fingerprint(text: Column) -> Column:
+    """An array of hash * 2^31 + (2^31 - 1 - position), in order of position.
+
+    One expression in which every step is bound once and used by the next, so that no step is
+    computed again for each element and no row is copied between steps.
     """
-    t = [f"_{out}_{i}" for i in range(12)]
-    c = [F.col(name) for name in t]
-    grams = F.size(c[0]) - (GRAM - 1)
-    df = df.withColumn(t[0], F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+"), ""))
-    df = df.withColumn(t[1], F.transform(c[0], lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME))))
-    df = df.withColumn(t[2], _roll(c[1], c[1], 1, 1)).withColumn(t[3], _roll(c[2], c[2], 2, 2)).withColumn(t[4], _roll(c[3], c[1], 4, 1))
-    whole = F.array(F.pmod(F.xxhash64(c[0]), F.lit(PRIME)))
-    df = df.withColumn(t[5], F.when(grams > 0, F.slice(c[4], F.lit(1), F.greatest(grams, F.lit(1)))).when(F.size(c[0]) > 0, whole).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn(t[6], F.transform(c[5], lambda h, i: F.shiftleft(h, 31) + (F.lit(PRIME).cast("long") - i)))
-    at, by = 6, 1
-    while by < WINDOW:
-        df = df.withColumn(t[at + 1], _least(c[at], by))
-        at, by = at + 1, 2 * by
-    windows = F.greatest(F.size(c[6]) - (WINDOW - 1), F.least(F.size(c[6]), F.lit(1)))
-    df = df.withColumn(out, F.array_distinct(F.slice(c[at], F.lit(1), windows)))
-    return df.drop(*t)
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+
+    def grams_of(w: Column) -> Column:
+        count = F.size(w) - (GRAM - 1)
+        whole = F.array(F.pmod(F.xxhash64(w), F.lit(PRIME)))
+        rolled = let(
+            F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME))),
+            lambda h: let(_roll(h, h, 1, 1), lambda two: let(_roll(two, two, 2, 2), lambda four: _roll(four, h, 4, 1))),
+        )
+        long_enough = F.slice(rolled, F.lit(1), F.greatest(count, F.lit(1)))
+        return F.when(count > 0, long_enough).when(F.size(w) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words, lambda w: let(grams_of(w), _windows_of))
+
+
+def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
+    return df.withColumn(out, fingerprint(F.col(text)))
 
 
 def hashes(fingerprint: Column) -> Column:
@@ -78,8 +107,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def printed(fingerprint: Column) -> Column:
-    """``hash@position`` of every entry, in hexadecimal and decimal digits."""
-    return F.array_join(F.transform(fingerprint, lambda p: F.concat(F.hex(F.shiftright(p, 31)), F.lit("@"), (F.lit(PRIME).cast("long") - p.bitwiseAND(F.lit(PRIME))).cast("string"))), " ")
+    """The entries as decimal numbers: the hash is ``entry >> 31``, the position ``2^31 - 1 - (entry & 2^31 - 1)``."""
+    return F.array_join(fingerprint.cast("array<string>"), " ")
 
 
 def followers(keys: DataFrame, bits_left: int = 64) -> DataFrame:

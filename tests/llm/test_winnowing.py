@@ -37,7 +37,7 @@ def brute_entries(text, gram=w.GRAM, window=w.WINDOW):
 
 
 def shown(entries):
-    return " ".join(f"{h:X}@{i}" for h, i in entries)
+    return " ".join(str((h << 31) + w.PRIME - i) for h, i in entries)
 
 
 def brute_likeness(a, b):
