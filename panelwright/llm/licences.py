@@ -74,7 +74,8 @@ def digest(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: dict[str, str]) -> DataFrame:
     """(digest, license): one row for each canonical text among those given."""
-    given = spark.createDataFrame(sorted(known.items()), "license string, text string")
+    rows = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in sorted(known.items())])
+    given = spark.range(1).select(F.explode(rows.cast("array<struct<license: string, text: string>>")).alias("given")).select("given.*")
     canonical = given.select("license", squeezed(canonical_lines(F.col("text"))).alias("text")).where("text <> ''")
     return canonical.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
