@@ -129,7 +129,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where((PART + WHOLE) * common >= PART * (F.size("set_a") + F.size("set_b"))).select("a", "b").distinct()
+    # no distinct here: it would hold the join to its partitioning, and a frequent centre could not be split
+    return both.where((PART + WHOLE) * common >= PART * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
 def ordered_pair(x: Column, y: Column) -> list[Column]:
