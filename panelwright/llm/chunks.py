@@ -1,7 +1,7 @@
 """Documents as positions in word tables: each distinct word is handled once and joined back by position.
 
-Documents are read in chunks of about ``CHUNK_BYTES`` of text.  A chunk has a table of its distinct words, and its
-documents are sequences of places in that table.  The words of all chunks are dealt to buckets by
+Documents are read in chunks of about ``CHUNK_BYTES`` of text.  A chunk has a table of its distinct words, the frequent
+ones first, and its documents are one sequence of places in that table.  The words of all chunks are dealt to buckets by
 their hash and travel packed, one row for a chunk and bucket; a bucket sees all uses of its words
 and answers once for each distinct word; the answers go back to the chunks in the order of the words.  The text itself
 is never shuffled, and a frequent word is one entry in each chunk, however often it is used.
@@ -23,20 +23,30 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.storage import keep
 
-CHUNK_BYTES = 24_000_000
-DOCUMENT, LAYOUT = -2, -1
-SCHEMA = "chunk long, bucket int, doc_id long, flag boolean, data binary, counts binary"
+CHUNK_BYTES = 32_000_000
+#: Rows of a chunk that are no words: each document, the sequence of places, the bucket of each word.
+DOCUMENT, PLACES, LAYOUT = -3, -2, -1
+SCHEMA = "chunk long, bucket int, doc_id long, flag boolean, nth long, length long, data binary, counts binary"
 ANSWER = "chunk long, bucket int, data binary, more binary"
 #: Between words; never part of UTF-8.
 MARK = b"\xff"
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Integers compressed byte plane by byte plane."""
+    """Numbers compressed byte plane by byte plane."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
     return zstandard.compress(planes.tobytes(), 3)
 
 
+def pack_runs(values: np.ndarray) -> bytes:
+    """Numbers among which sequences repeat, compressed as they are."""
+    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 9)
+
+
+def unpack_runs(data: bytes, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
+
+
 def unpack(data: bytes, kind: type = np.uint32) -> np.ndarray:
     raw = np.frombuffer(zstandard.decompress(data), np.uint8)
     size = np.dtype(kind).itemsize
@@ -44,7 +54,7 @@ def unpack(data: bytes, kind: type = np.uint32) -> np.ndarray:
 
 
 def pack_words(words: list[str]) -> bytes:
-    return zstandard.compress(MARK.join([w.encode() for w in words]), 3)
+    return zstandard.compress(MARK.join([w.encode() for w in words]), 9)
 
 
 def unpack_words(data: bytes) -> list[str]:
@@ -65,22 +75,32 @@ class Chunk:
         self.bytes += len(text)
 
     def rows(self, buckets: int) -> pd.DataFrame:
-        words = list(self.places)
+        lengths = [len(places) for _, _, places in self.documents]
+        places = np.concatenate([p for _, _, p in self.documents])
+        frequent = np.argsort(-np.bincount(places, minlength=len(self.places)), kind="stable")
+        number = np.empty(len(frequent), np.uint32)
+        number[frequent] = np.arange(len(frequent), dtype=np.uint32)
+        places, listed = number[places], list(self.places)
+        words = [listed[i] for i in frequent]
         bucket = np.array([zlib.crc32(w.encode()) % buckets for w in words], np.uint32)
-        learnt = [places for _, held_out, places in self.documents if not held_out]
-        count = np.bincount(np.concatenate(learnt), minlength=len(words)) if learnt else np.zeros(len(words), np.int64)
-        out = [(self.number, LAYOUT, None, None, pack(bucket), None)]
-        out += [(self.number, DOCUMENT, doc_id, flag, pack(places), None) for doc_id, flag, places in self.documents]
+        counted = np.repeat([not held_out for _, held_out, _ in self.documents], lengths)
+        count = np.bincount(places[counted], minlength=len(words)).astype(np.uint64)
+        out = [(self.number, LAYOUT, None, None, None, None, pack(bucket), None), (self.number, PLACES, None, None, None, None, pack(places), None)]
+        for nth, (doc_id, flag, own) in enumerate(self.documents):
+            out.append((self.number, DOCUMENT, doc_id, flag, nth, len(own), None, None))
         order = np.argsort(bucket, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(words) else ():
-            out.append((self.number, int(bucket[part[0]]), None, None, pack_words([words[i] for i in part]), pack(count[part].astype(np.uint64))))
-        return pd.DataFrame(out, columns=["chunk", "bucket", "doc_id", "flag", "data", "counts"]).astype({"doc_id": "Int64", "flag": "boolean"})
+            out.append((self.number, int(bucket[part[0]]), None, None, None, None, pack_words([words[i] for i in part]), pack(count[part])))
+        frame = pd.DataFrame(out, columns=["chunk", "bucket", "doc_id", "flag", "nth", "length", "data", "counts"])
+        return frame.astype({"doc_id": "Int64", "flag": "boolean", "nth": "Int64", "length": "Int64"})
 
 
 def cut(docs: DataFrame, split: Callable[[str], list[str]], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The table of chunks of ``docs`` (doc_id, text, flag); null text is empty.  ``flag`` marks documents not to be counted."""
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, -(-size // chunk_bytes))
+    # small input partitions are read together, so that chunks reach their size
+    docs = docs.coalesce(max(buckets, docs.sparkSession.sparkContext.defaultParallelism))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # numbers are unique within the one run whose rows are kept
@@ -118,15 +138,27 @@ def per_bucket(table: DataFrame, work: Callable[[Uses], pd.DataFrame], schema: s
     return table.where("bucket >= 0").groupBy("bucket").applyInPandas(lambda rows: work(Uses(rows)), schema)
 
 
-def per_chunk(table: DataFrame, answers: DataFrame, work: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+Documents = Iterator[tuple[object, bool, np.ndarray]]
+
+
+def per_chunk(table: DataFrame, answers: DataFrame, work: Callable[[np.ndarray, pd.DataFrame, Documents], pd.DataFrame], schema: str) -> DataFrame:
     """Apply ``work`` to (order, answers by bucket, documents) of each chunk.
 
     The answers of a chunk's buckets, one after the other, are in the order ``order`` of its words.
+    Documents come as (doc_id, flag, places).
     """
 
+    def documents(own: pd.DataFrame) -> Documents:
+        places = unpack(own[own["bucket"] == PLACES]["data"].iloc[0])
+        rows = own[own["bucket"] == DOCUMENT].sort_values("nth")
+        start = 0
+        for doc_id, flag, length in zip(rows["doc_id"].astype("Int64"), rows["flag"], rows["length"].astype(int), strict=True):
+            yield doc_id, bool(flag), places[start : start + length]
+            start += length
+
     def meet(own: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
         layout = own[own["bucket"] == LAYOUT]["data"].iloc[0]
         order = np.argsort(unpack(layout), kind="stable")
-        return work(order, answered.sort_values("bucket"), own[own["bucket"] == DOCUMENT])
+        return work(order, answered.sort_values("bucket"), documents(own))
 
     return table.where("bucket < 0").drop("counts").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(meet, schema)

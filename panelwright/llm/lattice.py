@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.chunks import ANSWER, CHUNK_BYTES, Uses, cut, pack, per_bucket, per_chunk, unpack
+from panelwright.llm.chunks import ANSWER, CHUNK_BYTES, DOCUMENT, Documents, Uses, cut, pack, per_bucket, per_chunk, unpack
 from panelwright.llm.pieces import SPACE_MARK, model
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -76,7 +76,7 @@ def score(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFra
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("flag", held_out())
     table = cut(rows, words, chunk_bytes)
-    ends = table.where("bucket = -2 AND NOT flag").count()
+    ends = table.where((F.col("bucket") == DOCUMENT) & ~F.col("flag")).count()
     size, end = _vocabulary(path)
 
     def count(uses: Uses) -> pd.DataFrame:
@@ -103,7 +103,7 @@ def score(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFra
         out = [(chunk, uses.bucket, pack(uses.counts[used]), pack(value[used])) for chunk, used in zip(uses.chunks, uses.lists, strict=True)]
         return pd.DataFrame(out, columns=["chunk", "bucket", "data", "more"])
 
-    def join_back(order: np.ndarray, answers: pd.DataFrame, documents: pd.DataFrame) -> pd.DataFrame:
+    def join_back(order: np.ndarray, answers: pd.DataFrame, documents: Documents) -> pd.DataFrame:
         counts, value = np.zeros(len(order), np.uint64), np.zeros(len(order))
         if len(order):
             counts[order] = np.concatenate([unpack(d, np.uint64) for d in answers["data"]])
@@ -111,10 +111,9 @@ def score(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFra
         base = np.log10((counts.astype(float) + 0.5) / floor)
         base_end, model_end = math.log10((ends + 0.5) / floor), float(shared.value[end])
         out = []
-        for doc_id, flag, data in zip(documents["doc_id"].astype("Int64"), documents["flag"], documents["data"], strict=True):
-            places = unpack(data)
+        for doc_id, flag, places in documents:
             known = int((counts[places] > 0).sum()) + (ends > 0)
-            out.append((doc_id, bool(flag), len(places) + 1, known, tokens, float(base[places].sum()) + base_end, (float(value[places].sum()) + model_end) / math.log(10)))
+            out.append((doc_id, flag, len(places) + 1, known, tokens, float(base[places].sum()) + base_end, (float(value[places].sum()) + model_end) / math.log(10)))
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 

@@ -20,9 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.chunks import ANSWER, CHUNK_BYTES, Uses, cut, pack, per_bucket, per_chunk, unpack
+from panelwright.llm.chunks import ANSWER, Documents, Uses, cut, pack, pack_runs, per_bucket, per_chunk, unpack, unpack_runs
 
 SPACE_MARK = "▁"
+#: Larger chunks than elsewhere: ids are most of what travels, and a word's ids travel once for each chunk.
+CHUNK_BYTES = 44_000_000
 _MARKED = re.compile(r" *[^ ]+| +\Z").findall
 
 
@@ -70,10 +72,10 @@ def encode_decode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) ->
         flat = np.array([i for word in ids for i in word], np.uint32)
         out = []
         for chunk, used in zip(uses.chunks, uses.lists, strict=True):
-            out.append((chunk, uses.bucket, pack(length[used]), pack(flat[ranges(first[used], length[used])])))
+            out.append((chunk, uses.bucket, pack(length[used]), pack_runs(flat[ranges(first[used], length[used])])))
         return pd.DataFrame(out, columns=["chunk", "bucket", "data", "more"])
 
-    def join_back(order: np.ndarray, answers: pd.DataFrame, documents: pd.DataFrame) -> pd.DataFrame:
+    def join_back(order: np.ndarray, answers: pd.DataFrame, documents: Documents) -> pd.DataFrame:
         library = model(path).library
         length = np.zeros(len(order), np.int64)
         first = np.zeros(len(order), np.int64)
@@ -81,10 +83,9 @@ def encode_decode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) ->
         if len(order):
             in_order = np.concatenate([unpack(d) for d in answers["data"]]).astype(np.int64)
             length[order], first[order] = in_order, np.cumsum(in_order) - in_order
-            flat = np.concatenate([unpack(d) for d in answers["more"]])
+            flat = np.concatenate([unpack_runs(d) for d in answers["more"]])
         out = []
-        for doc_id, data in zip(documents["doc_id"].astype("Int64"), documents["data"], strict=True):
-            places = unpack(data)
+        for doc_id, _, places in documents:
             ids = flat[ranges(first[places], length[places])].tolist()
             out.append((doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
         return pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})

@@ -37,7 +37,7 @@ def test_packed_integers():
     assert chunks.unpack_words(chunks.pack_words(["a", "é\n", "x y"])) == ["a", "é\n", "x y"]
 
 
-@pytest.mark.parametrize("chunk_bytes", [300, chunks.CHUNK_BYTES])
+@pytest.mark.parametrize("chunk_bytes", [300, pieces.CHUNK_BYTES])
 def test_whole_texts(documents, chunk_bytes):
     texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()[:120]
     rows = list(enumerate(texts)) + [(500, None), (501, ""), (502, " "), (503, "  a  "), (504, "▁"), (505, "\n \n"), (506, "word " * 60_000), (506, "word " * 60_000), (None, "x\x00y")]
