@@ -5,10 +5,10 @@ letters read as one space), weighted by 1 + log of its count times the inverse d
 frequency over all training documents, scaled to length one.  Every language has several
 centroids, found by spherical k-means; a text gets the language of the nearest centroid
 by cosine.  It is rejected when it lies more than ``SLACK`` further from that centroid than any
-text of the language's sample from its own, or when it has no letter.
+text of the language's sample from its own (``LEAST_RADIUS`` at least), or when it has no letter.
 
 Document frequencies come from every training document.  Centroids are fitted on at most
-``SAMPLE`` documents of each language, those with the smallest hashes of their ids.
+``SAMPLE`` documents of each language, chosen by hashes of their ids.
 
 Null text, or text without a letter, is ``und`` with score 0 and rejected; without any training document
 everything is.  A null doc_id is held out.  Rows that repeat are predicted once each; an empty table
@@ -34,6 +34,8 @@ SAMPLE = 1000
 CENTROIDS = 4
 ROUNDS = 12
 SLACK = 0.1
+#: A language whose sample lies close together still takes texts up to this distance: short texts have few n-grams.
+LEAST_RADIUS = 0.75
 TEXTS_AT_ONCE = 256
 
 _LETTER = np.full(256, 0x20, np.uint32)
@@ -117,12 +119,16 @@ def fit(training: DataFrame) -> Model:
     n = np.array([found.get(i, 0) for i in range(DIMENSIONS + 1)], float)
     idf = (np.log((1 + n[-1]) / (1 + n[:-1])) + 1).astype(np.float32)
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = training.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE)
+    # a share of each language by hash, about three times the sample, before any rows meet in one task
+    sizes = keep(training.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    share = training.select("doc_id", "lang").join(sizes, "lang").where(place * F.col("n") < 3 * SAMPLE)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id")
+    sample = share.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE)
     # SAMPLE ids a language; Spark broadcasts the table by its measured size
     sample = keep(sample.select("doc_id", F.col("lang").alias("sample_lang")).distinct())
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place_points(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             start = 0
             for count in vectors(frame["text"]):
@@ -136,11 +142,12 @@ def fit(training: DataFrame) -> Model:
         points = np.stack([np.frombuffer(p, np.float32) for p in rows["point"]])
         means = spherical_means(points, CENTROIDS)
         near = points @ means.T
-        radius = float(1 - near.max(axis=1).min())
+        radius = max(LEAST_RADIUS, float(1 - near.max(axis=1).min()))
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "centroid": [m.astype(np.float32).tobytes() for m in means], "radius": radius})
 
     points = training.join(sample, (training["doc_id"] == sample["doc_id"]) & (training["lang"] == sample["sample_lang"]), "left_semi")
-    model = points.mapInPandas(place, "lang string, doc_id long, point binary").groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, radius double")
+    points = points.dropDuplicates(["lang", "doc_id"])  # a doc_id that repeats is one text of the sample
+    model = points.mapInPandas(place_points, "lang string, doc_id long, point binary").groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, radius double")
     rows = sorted(model.collect(), key=lambda r: (r.lang, r.centroid))  # CENTROIDS rows a language
     centroids = np.stack([np.frombuffer(r.centroid, np.float32) for r in rows]) if rows else np.zeros((0, DIMENSIONS), np.float32)
     return Model(idf, centroids, [r.lang for r in rows], np.array([r.radius for r in rows]))
