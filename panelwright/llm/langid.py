@@ -4,13 +4,13 @@ A text is a vector of hashed byte n-grams (two and three bytes of the lower-case
 letters read as one space), weighted by 1 + log of its count times the inverse document
 frequency over all training documents, scaled to length one.  Every language has several
 centroids, found by spherical k-means; a text gets the language of the nearest centroid
-by cosine.  It is rejected when it lies more than ``SLACK`` further from that centroid than any
-text of the language's sample from its own (``LEAST_RADIUS`` at least), or when it has no letter.
+by cosine.  It is rejected when it lies more than ``SLACK`` further from that centroid than nearly all
+texts of the language's sample of about its length (by distinct n-grams, in powers of two) from their own, or when it has no letter.
 
 Document frequencies come from every training document.  Centroids are fitted on at most
 ``SAMPLE`` documents of each language, chosen by hashes of their ids.
 
-Null text, or text without a letter, is ``und`` with score 0 and rejected; without any training document
+Null text, or text without a letter, is not learnt from.  It is ``und`` with score 0 and rejected; without any training document
 everything is.  A null doc_id is held out.  Rows that repeat are predicted once each; an empty table
 gives no rows; other columns are ignored.
 """
@@ -34,8 +34,9 @@ SAMPLE = 1000
 CENTROIDS = 4
 ROUNDS = 12
 SLACK = 0.1
-#: A language whose sample lies close together still takes texts up to this distance: short texts have few n-grams.
-LEAST_RADIUS = 0.75
+#: The radius is this quantile of the distances, over so many texts at least.
+QUANTILE, LEAST_TEXTS = 0.99, 20
+CLASSES = DIMENSIONS.bit_length()
 TEXTS_AT_ONCE = 256
 
 _LETTER = np.full(256, 0x20, np.uint32)
@@ -88,9 +89,31 @@ def spherical_means(points: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndar
     return means
 
 
+def length_class(points: np.ndarray) -> np.ndarray:
+    """Floor of the binary logarithm of the number of distinct n-grams."""
+    return np.log2(np.maximum((points > 0).sum(axis=1), 1)).astype(int)
+
+
+def radii_of(points: np.ndarray, means: np.ndarray) -> list[float]:
+    """Distance from which a text of each length class is rejected; always below 1.
+
+    A class with few texts borrows from the classes nearest to it.  Below the shortest text seen, the cosine falls with the
+    root of the number of n-grams.
+    """
+    cosine, own = (points @ means.T).max(axis=1), length_class(points)
+    out = []
+    for c in range(CLASSES):
+        at = max(c, own.min())
+        apart = np.abs(own - at)
+        width = np.sort(apart)[min(LEAST_TEXTS, len(own)) - 1]
+        least = float(np.quantile(cosine[apart <= width], 1 - QUANTILE)) * 2 ** ((c - at) / 2)
+        out.append(min(1 - max(least - SLACK, least / 2), 1 - 1e-6))
+    return out
+
+
 @dataclass
 class Model:
-    """Inverse document frequencies, and unit centroids with their languages and radii."""
+    """Inverse document frequencies, and unit centroids with their languages and, by length class, radii."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -103,8 +126,8 @@ def held_out(folds: int = 3) -> Column:
 
 
 def fit(training: DataFrame) -> Model:
-    """Learn from rows of doc_id, text and lang; rows with null text or lang are left out."""
-    training = training.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    """Learn from rows of doc_id, text and lang; rows with null lang, or without a letter, are left out."""
+    training = training.select("doc_id", "text", "lang").where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
 
     def frequencies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(DIMENSIONS + 1, np.int64)
@@ -141,16 +164,15 @@ def fit(training: DataFrame) -> Model:
         rows = rows.sort_values(["doc_id", "point"])
         points = np.stack([np.frombuffer(p, np.float32) for p in rows["point"]])
         means = spherical_means(points, CENTROIDS)
-        near = points @ means.T
-        radius = max(LEAST_RADIUS, float(1 - near.max(axis=1).min()))
-        return pd.DataFrame({"lang": rows["lang"].iloc[0], "centroid": [m.astype(np.float32).tobytes() for m in means], "radius": radius})
+        radii = radii_of(points, means)
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "centroid": [m.astype(np.float32).tobytes() for m in means], "radii": [radii] * len(means)})
 
     points = training.join(sample, (training["doc_id"] == sample["doc_id"]) & (training["lang"] == sample["sample_lang"]), "left_semi")
     points = points.dropDuplicates(["lang", "doc_id"])  # a doc_id that repeats is one text of the sample
-    model = points.mapInPandas(place_points, "lang string, doc_id long, point binary").groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, radius double")
+    model = points.mapInPandas(place_points, "lang string, doc_id long, point binary").groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, radii array<double>")
     rows = sorted(model.collect(), key=lambda r: (r.lang, r.centroid))  # CENTROIDS rows a language
     centroids = np.stack([np.frombuffer(r.centroid, np.float32) for r in rows]) if rows else np.zeros((0, DIMENSIONS), np.float32)
-    return Model(idf, centroids, [r.lang for r in rows], np.array([r.radius for r in rows]))
+    return Model(idf, centroids, [r.lang for r in rows], np.array([r.radii for r in rows]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -163,12 +185,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         langs, scores, rejected = [], [], []
         if len(m.langs):
             for count in vectors(text):
-                near = weighted(count, m.idf) @ m.centroids.T
+                points = weighted(count, m.idf)
+                near = points @ m.centroids.T
                 best = np.argmax(near, axis=1)
                 score = np.clip(near[np.arange(len(near)), best].astype(float), 0, 1)
                 langs += [m.langs[b] for b in best]
                 scores += score.tolist()
-                rejected += (1 - score > m.radii[best] + SLACK).tolist()
+                rejected += (1 - score > m.radii[best, length_class(points)]).tolist()
         else:
             langs, scores, rejected = [UNKNOWN] * len(text), [0.0] * len(text), [True] * len(text)
         for i, t in enumerate(text):

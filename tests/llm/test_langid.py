@@ -53,3 +53,31 @@ def test_nothing_to_learn(documents):
     out = langid.identify(documents([(1, "some words", None, None)])).collect()
     assert [(r.lang_pred, r.rejected) for r in out] == [("und", True)]
     assert langid.identify(documents([])).count() == 0
+
+
+FOREIGN = [
+    "suomen kieli on kaunis ja vaikea oppia koska siinä on monta sijamuotoa ja pitkiä sanoja joita ulkomaalaiset eivät ymmärrä helposti",
+    "a magyar nyelv nagyon nehéz mert sok rag van benne és a szórend is más mint a többi európai nyelvben ezért kevesen tudják",
+    "xqzv kjhwq zzkp qwxv bvcxz plmkq wrtzx ghjkq vbnmz qqxzw zxcvq kkjhz wqpxm zvbqk jxqzw hhqzk pqxwv nzkqx bqwzj xvkqz",
+]
+
+
+def test_unlearnt_languages_and_gibberish_are_rejected(spark):
+    """Beside the table, with training rows that have no letter or next to none in every language."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    top = table.agg({"doc_id": "max"}).collect()[0][0]
+    ids = (i for i in range(top + 1, top + 10_000) if zlib.crc32(str(i).encode()) % 3 != 1)
+    odd = [(next(ids), t, lang) for lang in ("en", "de", "fr", "es") for t in ("", "12 345 !!", "x", "zq")]
+    probes = [(-i, t, None) for i, t in enumerate(FOREIGN, 1)]
+    out = langid.identify(table.unionByName(spark.createDataFrame(odd + probes, "doc_id long, text string, lang string"))).toPandas().set_index("doc_id")
+    assert out.rejected[[i for i, *_ in probes]].all()
+    assert out.rejected[[i for i, t, _ in odd if not any(map(str.isalpha, t))]].all()
+    assert out.rejected[(out.index >= 0) & (out.index <= top)].mean() < 0.01
+
+
+def test_a_letterless_training_row_changes_nothing(documents):
+    rows = [(i, f"the quick brown fox number {i} jumps over the lazy dog", "en", "s") for i in range(60)]
+    odd = [(100 + i, t, "en", "s") for i in range(30) for t in ("", "123", "!?")]
+    plain = {r.doc_id: (r.score, r.rejected) for r in langid.identify(documents([*rows, (999, FOREIGN[2], None, "s")])).collect()}
+    mixed = {r.doc_id: (r.score, r.rejected) for r in langid.identify(documents([*rows, *odd, (999, FOREIGN[2], None, "s")])).collect()}
+    assert plain[999][1] and all(mixed[i] == plain[i] for i in plain)
