@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRAM = 5
-WINDOW = 16
+WINDOW = 4
 PRIME = 2_147_483_647
 BASE = 1_000_003
 #: Documents are neighbours within ranges of 2 ** BUCKET_BITS ids; ranges are ordered in levels of 2 ** LEVEL_BITS.

@@ -91,3 +91,9 @@ def test_no_rows(documents):
 def test_no_python_in_the_plan(documents):
     plan = w.compare_with_edits(documents([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_short_texts_share_an_entry_with_their_edit(documents):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randint(1000, 9999)}" for _ in range(rng.randint(16, 50)))) for i in range(80)]
+    assert [r.doc_id for r in w.compare_with_edits(documents(rows)).collect() if r.near_edited == 0] == []
