@@ -5,18 +5,23 @@ letters read as one space), weighted by 1 + log of its count times the inverse d
 frequency over all training documents, scaled to length one.  Every language has several
 centroids, found by spherical k-means; a text gets the language of the nearest centroid
 by cosine.  It is rejected when it lies more than ``SLACK`` further from that centroid than nearly all
-texts of the language's sample of about its length (by distinct n-grams, in powers of two) from their own, or when it has no letter.
+texts of the language's sample of about its length (by distinct n-grams, in powers of two) lie from centroids that were
+fitted without them, or when it has no letter.  The sample's distinct vectors are dealt into two folds; each is measured
+against centroids of the other, so a text that is repeated never vouches for its own copies.  A language with fewer than
+``LEAST_TEXTS`` distinct vectors rejects only beyond ``WIDE``.
 
 Document frequencies come from every training document.  Centroids are fitted on at most
 ``SAMPLE`` documents of each language, chosen by hashes of their ids.
 
 Null text, or text without a letter, is not learnt from.  It is ``und`` with score 0 and rejected; without any training document
-everything is.  A null doc_id is held out.  Rows that repeat are predicted once each; an empty table
-gives no rows; other columns are ignored.
+everything is.  A null doc_id is held out.  Rows that repeat are predicted once each; of texts that share a doc_id and a
+language the sample holds the least; an empty table gives no rows; other columns, whatever their names, are carried or
+ignored.  Equally near centroids: the first in order of language.  Texts of any length are read whole, a long one alone.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.storage import keep
+from panelwright.llm.storage import free_name, keep
 from panelwright.llm.words import batches
 
 UNKNOWN = "und"
@@ -34,8 +39,8 @@ SAMPLE = 1000
 CENTROIDS = 4
 ROUNDS = 12
 SLACK = 0.1
-#: The radius is this quantile of the distances, over so many texts at least.
-QUANTILE, LEAST_TEXTS = 0.99, 20
+#: The radius is this quantile of the out-of-sample distances, over so many texts at least; with fewer it is ``WIDE``.
+QUANTILE, LEAST_TEXTS, WIDE = 0.99, 20, 0.85
 CLASSES = DIMENSIONS.bit_length()
 TEXTS_AT_ONCE = 256
 
@@ -94,18 +99,34 @@ def length_class(points: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum((points > 0).sum(axis=1), 1)).astype(int)
 
 
-def radii_of(points: np.ndarray, means: np.ndarray) -> list[float]:
+def outer_cosines(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct points, and the cosine of each to the nearest of the centroids fitted on the other fold.
+
+    Points are dealt in an order that hashes of their bytes give, so the folds do not depend on ids.
+    """
+    distinct = np.unique(points, axis=0)
+    distinct = distinct[np.argsort([zlib.crc32(p.tobytes()) for p in distinct], kind="stable")]
+    cosine = np.zeros(len(distinct))
+    for fold in range(2 if len(distinct) > 1 else 0):
+        cosine[fold::2] = (distinct[fold::2] @ spherical_means(distinct[1 - fold :: 2], CENTROIDS).T).max(axis=1)
+    return distinct, cosine
+
+
+def radii_of(points: np.ndarray) -> list[float]:
     """Distance from which a text of each length class is rejected; always below 1.
 
     A class with few texts borrows from the classes nearest to it.  Below the shortest text seen, the cosine falls with the
     root of the number of n-grams.
     """
-    cosine, own = (points @ means.T).max(axis=1), length_class(points)
+    distinct, cosine = outer_cosines(points)
+    if len(distinct) < LEAST_TEXTS:
+        return [WIDE] * CLASSES
+    own = length_class(distinct)
     out = []
     for c in range(CLASSES):
         at = max(c, own.min())
         apart = np.abs(own - at)
-        width = np.sort(apart)[min(LEAST_TEXTS, len(own)) - 1]
+        width = np.sort(apart)[LEAST_TEXTS - 1]
         least = float(np.quantile(cosine[apart <= width], 1 - QUANTILE)) * 2 ** ((c - at) / 2)
         out.append(min(1 - max(least - SLACK, least / 2), 1 - 1e-6))
     return out
@@ -164,19 +185,19 @@ def fit(training: DataFrame) -> Model:
         rows = rows.sort_values(["doc_id", "point"])
         points = np.stack([np.frombuffer(p, np.float32) for p in rows["point"]])
         means = spherical_means(points, CENTROIDS)
-        radii = radii_of(points, means)
+        radii = radii_of(points)
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "centroid": [m.astype(np.float32).tobytes() for m in means], "radii": [radii] * len(means)})
 
     points = training.join(sample, (training["doc_id"] == sample["doc_id"]) & (training["lang"] == sample["sample_lang"]), "left_semi")
-    points = points.dropDuplicates(["lang", "doc_id"])  # a doc_id that repeats is one text of the sample
+    points = points.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # a doc_id that repeats is one text of the sample
     model = points.mapInPandas(place_points, "lang string, doc_id long, point binary").groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, radii array<double>")
     rows = sorted(model.collect(), key=lambda r: (r.lang, r.centroid))  # CENTROIDS rows a language
     centroids = np.stack([np.frombuffer(r.centroid, np.float32) for r in rows]) if rows else np.zeros((0, DIMENSIONS), np.float32)
     return Model(idf, centroids, [r.lang for r in rows], np.array([r.radii for r in rows]))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score (cosine to the nearest centroid) and rejected."""
+def predict(docs: DataFrame, model: Model, out: str = "found") -> DataFrame:
+    """``docs`` with a struct ``out`` of lang_pred, score (cosine to the nearest centroid) and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -199,7 +220,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 langs[i], scores[i], rejected[i] = UNKNOWN, 0.0, True
         return pd.DataFrame({"lang_pred": langs, "score": scores, "rejected": rejected})
 
-    return docs.withColumn("found", nearest(F.col("text").cast("string")))
+    return docs.withColumn(out, nearest(F.col("text").cast("string")))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -210,7 +231,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected."""
+    """The rows of ``docs`` that are not rejected, with all their columns."""
     model = fit(docs.where(~held_out()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")))
-    columns = docs.columns
-    return predict(docs, model).where(~F.col("found.rejected")).select(*columns)
+    out = free_name(docs)
+    return predict(docs, model, out).where(~F.col(f"{out}.rejected")).drop(out)

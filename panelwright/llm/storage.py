@@ -28,3 +28,11 @@ def keep(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/panelwright-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, name: str = "found") -> str:
+    """``name``, with underscores as long as ``df`` has such a column (names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
