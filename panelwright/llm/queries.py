@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import langid, lattice, licences, nearjoin, packing, pieces, quality, ring, urlrules, winnowing
+from panelwright.llm import contentsort, langid, lattice, licences, nearjoin, packing, pieces, quality, resampling, ring, urlrules, vectorcodes, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_licence_scan", licences.scan_sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_vector_codes", vectorcodes.compress_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_importance_resampling", resampling.resample_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_exact_dedup", contentsort.COPIES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contentsort.grouped(table(spark, sf_dir, "documents"))
