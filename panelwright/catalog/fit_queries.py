@@ -101,6 +101,24 @@ def fit_location_query(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, "least_squares", "least_absolute", digits=4)
 
 
+# the least largest residual: half the range without lags; with one lag, where two residuals are equal in size
+@query("fit_stable_location", f"""WITH {SUP} SELECT series_id, {r('(max(y) + min(y)) / 2')} AS c, {r('(max(y) - min(y)) / 2')} AS worst, {r('(max(y) - min(y)) / 2')} AS bound, true AS converged FROM p GROUP BY 1""")
+def fit_stable_location_query(spark: SparkSession, sf: str) -> DataFrame:
+    panel = P.supplier_months(spark, sf)
+    fits = E.fit_models(panel, E.specify(panel, objective="stable"), pairs=[(0, 0)])
+    return rounded(fits.select("series_id", "c", "worst", "bound", "converged"), "c", "worst", "bound")
+
+
+@query("fit_stable_ar1", f"""WITH {DIF}, lagged AS (SELECT series_id, t, w, lag(w) OVER (PARTITION BY series_id ORDER BY t) AS a FROM dif), l AS (SELECT * FROM lagged WHERE a IS NOT NULL),
+ meet AS (SELECT DISTINCT i.series_id, least(greatest((i.w + s * j.w) / nullif(i.a + s * j.a, 0), -1), 1) AS phi FROM l i JOIN l j ON i.series_id = j.series_id AND i.t <= j.t, (VALUES (1), (-1)) x(s)),
+ tried AS (SELECT m.series_id, phi, max(abs(w - phi * a)) AS worst FROM (SELECT * FROM meet WHERE phi IS NOT NULL UNION SELECT series_id, unnest([-1.0::DOUBLE, 1.0::DOUBLE]) FROM l) m JOIN l ON l.series_id = m.series_id GROUP BY 1, 2)
+ SELECT series_id, {r('arg_min(phi, worst)')} AS phi, {r('min(worst)')} AS worst, {r('min(worst)')} AS bound FROM tried GROUP BY 1""")
+def fit_stable_ar1_query(spark: SparkSession, sf: str) -> DataFrame:
+    panel = P.supplier_months(spark, sf)
+    fits = E.fit_models(panel, ar1_spec(panel, mean=False, objective="stable"), pairs=[(1, 0)])
+    return rounded(fits.select("series_id", F.col("ar")[0].alias("phi"), "worst", "bound"), "phi", "worst", "bound")
+
+
 CROSS = f"{DIF}, lagged AS (SELECT series_id, w, lag(w) OVER (PARTITION BY series_id ORDER BY t) AS w1 FROM dif), m AS (SELECT series_id, sum(w * w1) AS xy, sum(w1 * w1) AS xx FROM lagged WHERE w1 IS NOT NULL GROUP BY 1)"
 
 

@@ -29,7 +29,7 @@ GIVEN_COLUMNS = ["c", "trend", "ar", "ma", "sar", "sma", "beta"]
 FIT_FIELDS = (
     "c double, trend double, ar array<double>, ma array<double>, sar array<double>, sma array<double>, "
     "beta array<double>, sse double, sae double, worst double, n_resid int, n_w int, k int, k_var int, "
-    "lambda double, recent array<double>, converged boolean"
+    "lambda double, bound double, recent array<double>, converged boolean"
 )
 CANDIDATE_BLOCK = 12
 
@@ -145,7 +145,7 @@ def fit_linear(
             row = _row(layout.split(b, orders), m_, dr_)
             row.update(
                 sse=max(float(whole @ G @ whole), 0.0), sae=None, worst=None, n_resid=n, n_w=total, k=k, k_var=k - exog,
-                recent=[], converged=True, **{"lambda": penal if penal else None},
+                bound=None, recent=[], converged=True, **{"lambda": penal if penal else None},
             )
             out.append(row)
         return pd.DataFrame(out, columns=[f.split()[0] for f in FIT_FIELDS.split(", ")])
@@ -271,7 +271,7 @@ def _fit_unit(row, exog_names, s, given, df) -> list[dict]:
                 "series_id": row.series_id, "d": row.d, "sd": row.sd, "objective": row.objective, "alpha": alpha,
                 **_row(f, m["mean"], m["drift"]),
                 **{c: f[c] for c in ("sse", "sae", "worst", "n_resid", "n_w", "k", "k_var", "recent", "converged")},
-                "lambda": lam_used, "n_t": len(y) - head,
+                "lambda": lam_used, "bound": f["bound"] if np.isfinite(f["bound"]) else None, "n_t": len(y) - head,
             }
         )
     return out

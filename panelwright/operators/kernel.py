@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from panelwright.operators.minimax import least_worst
 from panelwright.operators.moments import solve_bounded
 
-ROUNDS = 80
-NORMS = (4, 8, 16, 32, 64)
+#: Rounds after which a fit is given up as not converged; the same for series of any length.
+ROUNDS = 400
 SETTLED = 1e-16
 
 
@@ -124,25 +125,21 @@ def residuals(w, F, layout: Layout, b, mask, valid, jacobian: bool = True):
 
 
 class _Problem:
-    def __init__(self, w, F, layout, mask, valid, lower, upper, free, norm=2.0, absolute=False, lam=None, alpha=0.0, nested=False):
+    def __init__(self, w, F, layout, mask, valid, lower, upper, free, absolute=False, lam=None, alpha=0.0, nested=False):
         self.w, self.F, self.layout = w, F, layout
         self.mask, self.valid, self.lower, self.upper, self.free = mask, valid, lower, upper, free
-        self.norm, self.absolute, self.lam, self.alpha, self.nested = norm, absolute, lam, alpha, nested
+        self.absolute, self.lam, self.alpha, self.nested = absolute, lam, alpha, nested
 
     def subset(self, keep):
         lam = None if self.lam is None else self.lam[keep]
         return _Problem(
             self.w, self.F, self.layout, self.mask[keep], self.valid[:, keep], self.lower[keep], self.upper[keep],
-            self.free[keep], self.norm, self.absolute, lam, self.alpha, self.nested,
+            self.free[keep], self.absolute, lam, self.alpha, self.nested,
         )
 
     def value(self, E, b):
         if self.absolute:
             return np.abs(E).sum(axis=0)
-        if self.norm != 2.0:
-            top = np.abs(E).max(axis=0)
-            safe = np.where(top > 0, top, 1.0)
-            return np.log(safe) + np.log(np.maximum(((np.abs(E) / safe) ** self.norm).sum(axis=0), 1e-300)) / self.norm
         total = (E * E).sum(axis=0)
         if self.lam is not None:
             total = total + self.lam * (self.alpha * np.abs(b).sum(axis=1) + (1 - self.alpha) * (b * b).sum(axis=1))
@@ -152,9 +149,6 @@ class _Problem:
         if self.absolute:
             size = np.abs(E)
             return 1.0 / np.maximum(size, 1e-7 * np.maximum(size.max(axis=0), 1e-300))
-        if self.norm != 2.0:
-            top = np.abs(E).max(axis=0)
-            return (np.abs(E) / np.where(top > 0, top, 1.0)) ** (self.norm - 2.0)
         return None
 
     def evaluate(self, b):
@@ -274,6 +268,22 @@ def minimise(problem: _Problem, b: np.ndarray, rounds: int = ROUNDS, tol: float
     return best, converged
 
 
+def _least_worst_of_all(problem: _Problem, b: np.ndarray):
+    """Least largest residual of every candidate: parameters, lower bounds, converged flags."""
+    b, bound, done = b.copy(), np.zeros(len(b)), np.zeros(len(b), dtype=bool)
+    for c in range(len(b)):
+        one, free, rows = problem.subset(np.array([c])), problem.free[c], problem.valid[:, c] > 0
+
+        def evaluate(x, whole=b[c].copy(), one=one, free=free, rows=rows):
+            whole[free] = x
+            E, J = residuals(one.w, one.F, one.layout, whole[None], one.mask, one.valid)
+            return E[rows, 0], J[rows, 0][:, free]
+
+        linear = not (free[problem.layout.linear :]).any()
+        b[c, free], bound[c], done[c] = least_worst(evaluate, b[c, free], problem.lower[c, free], problem.upper[c, free], linear, ROUNDS)
+    return b, bound, done
+
+
 def lambda_path(y: np.ndarray, k: int, steps: int = 10) -> np.ndarray:
     """Penalties from the largest useful one down, evenly spaced in logarithm."""
     n = len(y)
@@ -328,7 +338,7 @@ def _fit_chunk(w, y, exog, orders, s, objective, lam, alpha, fixed, df) -> list[
         lower = np.where(free, lower, -np.inf)
         upper = np.where(free, upper, np.inf)
     problem = _Problem(w, F, layout, mask, valid, lower, upper, free)
-    chosen = np.full(C, np.nan)
+    chosen, bound = np.full(C, np.nan), np.full(C, np.nan)
     K = mask.sum(axis=1) + 1
     K_var = K - layout.exog
     if objective in ("mse", "ml", "bilevel", "mae", "stable"):
@@ -337,14 +347,9 @@ def _fit_chunk(w, y, exog, orders, s, objective, lam, alpha, fixed, df) -> list[
         problem.nested = False
         if objective == "mae":
             problem.absolute = True
-            b, done = minimise(problem, b, rounds=200, tol=1e-9)
+            b, done = minimise(problem, b, tol=1e-9)
         if objective == "stable":
-            start = b.copy()
-            for norm in NORMS:
-                problem.norm = float(norm)
-                b, done = minimise(problem, b, rounds=60, tol=1e-9)
-            worst = lambda v: np.abs(residuals(w, F, layout, v, mask, valid, False)[0]).max(axis=0)
-            b = np.where((worst(b) <= worst(start))[:, None], b, start)
+            b, bound, done = _least_worst_of_all(problem, b)
     else:
         problem.alpha = 0.5 if alpha is None else alpha
         chosen = np.full(C, 1.0 / np.sqrt(T) if lam is None else lam)
@@ -376,7 +381,7 @@ def _fit_chunk(w, y, exog, orders, s, objective, lam, alpha, fixed, df) -> list[
         row.update(
             sse=float(e @ e), sae=float(np.abs(e).sum()), worst=float(np.abs(e).max()) if len(e) else 0.0, n_resid=len(e), n_w=T,
             k=int(K[c]), k_var=int(K_var[c]) if fixed is None or not _has_beta(fixed[c]) else int(K[c]),
-            lam=float(chosen[c]), recent=e[::-1][:tail].tolist(), converged=bool(done[c]),
+            lam=float(chosen[c]), bound=float(bound[c]), recent=e[::-1][:tail].tolist(), converged=bool(done[c]),
         )
         out.append(row)
     return out

@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.operators.kernel import NORMS, Layout, _bounded_step, next_gain, step_is_small
+from panelwright.operators.kernel import ROUNDS, Layout, _bounded_step, next_gain, step_is_small
+from panelwright.operators.minimax import SETTLED, WORTH, chebyshev
 from panelwright.operators.moments import full_matrix, pairs
 from panelwright.operators.panel import lengths
 from panelwright.operators.residuals import end_state, recurse, step_matrix
@@ -26,20 +27,19 @@ from panelwright.plans.blocks import attach, block_rows, restrict, with_lags
 from panelwright.plans.session import checkpoint
 
 SERIES = ["series_id", "d", "sd"]
-ROUNDS = 400
 PATH_STEPS = 10
 
-# What each objective minimises in turn: the norm of the residuals (1, 2 or higher).
-PHASES = {"mae": [2, 1], "stable": [2, *NORMS]}
+# What each objective minimises in turn: the norm of the residuals, 1 or 2, or their extremes.
+EXTREMES = 0
+PHASES = {"mae": [2, 1], "stable": [2, EXTREMES]}
 
 STATE = (
     "series_id string, model_id string, d int, sd int, p int, q int, sp int, sq int, mean boolean, drift boolean, objective string, "
     "alpha double, lambda double, n long, free array<boolean>, b array<double>, trial array<double>, value double, gram array<double>, "
     "sse double, sae double, worst double, n_resid long, n_w long, recent array<double>, mu double, calm int, phase int, ref double, last array<double>, gain double, done boolean, "
-    "kept_b array<double>, kept array<double>, kept_recent array<double>"
+    "bound double, radius double, pool array<array<double>>"
 )
 FIELDS = [f.split()[0] for f in STATE.split(", ")]
-KEPT = ("sse", "sae", "worst", "n_resid")
 
 
 def fit_long(
@@ -142,7 +142,7 @@ def _start(wanted: DataFrame, panel: DataFrame, rows: DataFrame, layout: Layout,
                 start = {
                     "free": free.tolist(), "b": b.tolist(), "trial": b.tolist(), "value": np.inf, "gram": [], "sse": np.nan, "sae": np.nan,
                     "worst": np.nan, "n_resid": 0, "n_w": 0, "recent": [], "mu": 1e-4 if layout.ma_lags else 1e-12, "calm": 0, "phase": 0, "ref": 1.0, "last": [0.0] * layout.size, "gain": 1.0, "done": False,
-                    "kept_b": None, "kept": None, "kept_recent": None,
+                    "bound": 0.0, "radius": np.inf, "pool": [],
                 }
                 out.append({**{c: row[c] for c in carried if c != "n_marks"}, **start})
             yield pd.DataFrame(out, columns=FIELDS)
@@ -172,7 +172,8 @@ def _measure(rows: DataFrame, active: DataFrame, layout: Layout, exog_columns: S
     group = [*SERIES, "blk"]
     m, L, C = max(layout.ma_lags, default=0), layout.linear, layout.linear + 1
     last = F.expr(f"(n - 1) div {limit}")
-    models = active.select(*SERIES, "model_id", "p", "q", "sp", "sq", "objective", "phase", "ref", "trial", "n", "free")
+    watch = F.transform("pool", lambda line: line[0].cast("long")).alias("watch")
+    models = active.select(*SERIES, "model_id", "p", "q", "sp", "sq", "objective", "phase", "ref", "trial", "n", "free", watch)
     models = models.withColumn("blk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
 
     def theta(row) -> np.ndarray:
@@ -206,7 +207,7 @@ def _measure(rows: DataFrame, active: DataFrame, layout: Layout, exog_columns: S
             starts.append(state.ravel())
         return pd.DataFrame({"series_id": parts["series_id"], "model_id": parts["model_id"], "blk": parts["blk"] + 1, "start": starts})
 
-    columns = ["series_id", "model_id", "blk", "gram", "value", "sse", "sae", "worst", "n_resid", "n_w", "recent"]
+    columns = ["series_id", "model_id", "blk", "gram", "value", "sse", "sae", "worst", "n_resid", "n_w", "recent", "top", "bottom", "watched"]
 
     def moments(block: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -230,16 +231,23 @@ def _measure(rows: DataFrame, active: DataFrame, layout: Layout, exog_columns: S
             J = J * np.asarray(row["free"], dtype=float)
             norm, ref = _phases(row["objective"])[row["phase"]], row["ref"]
             size = np.abs(e) / ref
-            weight = np.ones(len(e)) if norm == 2 else (1.0 / np.maximum(size, 1e-7) / ref if norm == 1 else size ** (norm - 2))
+            weight = 1.0 / np.maximum(size, 1e-7) / ref if norm == 1 else np.ones(len(e))
             columns_ = np.column_stack([e, J])
             G = (columns_ * weight[:, None]).T @ columns_
-            value = float((size**norm).sum()) if norm > 2 else float(np.abs(e).sum() if norm == 1 else e @ e)
+            value = float(np.abs(e).max(initial=0.0) if norm == EXTREMES else np.abs(e).sum() if norm == 1 else e @ e)
+            top = bottom = None
+            watched = []
+            if norm == EXTREMES and valid.any():
+                t = block["t"].to_numpy()
+                line = lambda i, t=t, e=e, J=J: [float(t[i]), float(e[i]), *J[i].tolist()]
+                top, bottom = line(int(np.where(valid > 0, e, -np.inf).argmax())), line(int(np.where(valid > 0, e, np.inf).argmin()))
+                watched = [line(i) for i in np.flatnonzero(np.isin(t, row["watch"]))]
             recent = end_state(e, e_start) if m else np.zeros(0)
             out.append(
                 {
                     "series_id": row["series_id"], "model_id": row["model_id"], "blk": row["blk"], "gram": [G[i, j] for i, j in pairs(len(G))],
                     "value": value, "sse": float(e @ e), "sae": float(np.abs(e).sum()), "worst": float(np.abs(e).max(initial=0.0)),
-                    "n_resid": int(valid.sum()), "n_w": len(block), "recent": recent.tolist(),
+                    "n_resid": int(valid.sum()), "n_w": len(block), "recent": recent.tolist(), "top": top, "bottom": bottom, "watched": watched,
                 }
             )
         return pd.DataFrame(out, columns=columns)
@@ -254,7 +262,7 @@ def _measure(rows: DataFrame, active: DataFrame, layout: Layout, exog_columns: S
         models = models.withColumn("start", F.lit(None).cast("array<double>"))
     schema = (
         "series_id string, model_id string, blk long, gram array<double>, value double, sse double, sae double, worst double, "
-        "n_resid long, n_w long, recent array<double>"
+        "n_resid long, n_w long, recent array<double>, top array<double>, bottom array<double>, watched array<array<double>>"
     )
     by_block = data.cogroup(models.groupBy(*group)).applyInPandas(moments, schema)
     size = len(pairs(layout.size + 1))
@@ -263,6 +271,10 @@ def _measure(rows: DataFrame, active: DataFrame, layout: Layout, exog_columns: S
         *[F.sum(c).alias(f"_{c}") for c in ("value", "sse", "sae", "n_resid", "n_w")],
         F.max("worst").alias("_worst"),
         F.max_by("recent", "blk").alias("_recent"),
+        # two extreme rows a model, and those its pool asks for
+        F.max_by("top", F.col("top")[1]).alias("_top"),
+        F.min_by("bottom", F.col("bottom")[1]).alias("_bottom"),
+        F.flatten(F.collect_list(F.when(F.size("watched") > 0, F.col("watched")))).alias("_watched"),
     )
 
 
@@ -281,15 +293,14 @@ def _advance(active: DataFrame, measured: DataFrame, layout: Layout) -> DataFram
 
 def _advance_row(row: dict, layout: Layout, low: np.ndarray) -> dict:
     phases = _phases(row["objective"])
-    norm = phases[row["phase"]]
+    if phases[row["phase"]] == EXTREMES:
+        return _exchange_row(row, layout, low)
     penalty = row["objective"] == "elastic_net"
     lam = 0.0 if _missing(row["lambda"]) or not penalty else row["lambda"]
     alpha = 0.5 if _missing(row["alpha"]) else row["alpha"]
     b, trial, free = np.asarray(row["b"]), np.asarray(row["trial"]), np.asarray(row["free"], dtype=bool)
     used = np.where(free, trial, 0.0)
     new = row["_value"] + lam * (alpha * np.abs(used).sum() + (1 - alpha) * (used @ used))
-    if norm > 2:
-        new = np.log(row["ref"]) + np.log(max(row["_value"], 1e-300)) / norm
     out = {c: row[c] for c in FIELDS}
     old, mu, calm = row["value"], row["mu"], row["calm"]
     better = new < old or not np.isfinite(old)
@@ -312,21 +323,54 @@ def _advance_row(row: dict, layout: Layout, low: np.ndarray) -> dict:
     settled = bool(step_is_small(A, step, G[0, 0], mu))
     if calm >= 2 or mu > 1e9 or settled or not free.any():
         if row["phase"] + 1 < len(phases) and free.any():
-            if row["objective"] == "stable" and row["phase"] == 0:
-                out.update(kept_b=out["b"], kept=[float(out[c]) for c in KEPT], kept_recent=out["recent"])
             out.update(phase=row["phase"] + 1, ref=max(out["worst"], 1e-300), value=np.inf, trial=out["b"], mu=1e-4, calm=0, last=[0.0] * layout.size, gain=1.0)
         else:
-            if out["kept"] is not None and out["worst"] > out["kept"][KEPT.index("worst")]:
-                # the higher norms made the largest residual larger: back to least squares
-                out.update(b=out["kept_b"], recent=out["kept_recent"], **dict(zip(KEPT, out["kept"])))
-                out.update(n_resid=int(out["n_resid"]))
-            out.update(done=True, trial=out["b"], mu=mu, calm=calm)
+            out.update(done=True, trial=out["b"], mu=mu, calm=calm, bound=out["worst"])
         return out
     gain = float(next_gain(A, step, last, gain))
     out.update(trial=np.clip(now + gain * step, lower, -lower).tolist(), mu=mu, calm=calm, last=step.tolist(), gain=gain)
     return out
 
 
+def _exchange_row(row: dict, layout: Layout, low: np.ndarray) -> dict:
+    """One exchange of extreme residuals: the pass gave the extremes at the trial, their programme gives the next trial.
+
+    The pool holds lines (t, residual at b = 0, derivatives); without MA terms they are exact, and every trial is taken.  With MA
+    terms they belong to the centre ``b`` and all are measured anew when it moves.
+    """
+    out = {c: row[c] for c in FIELDS}
+    b, trial, free = np.asarray(row["b"]), np.asarray(row["trial"]), np.asarray(row["free"], dtype=bool)
+    extremes = [np.asarray(row["_top"], dtype=float), np.asarray(row["_bottom"], dtype=float)]
+    seen = [*extremes, *(np.asarray(x, dtype=float) for x in row["_watched"])]
+    lines = {int(x[0]): np.concatenate([[x[0], x[1] - x[2:] @ trial], x[2:]]) for x in seen}
+    pool = {int(x[0]): np.asarray(x, dtype=float) for x in row["pool"]}
+    linear, radius, worst = not layout.mask(np.array([(0, row["q"], 0, row["sq"], 0)]))[0, layout.linear :].any(), row["radius"], row["_worst"]
+    gain, promise, length = row["value"] - worst, row["value"] - row["bound"], float(np.abs(trial - b).max(initial=0.0))
+    if linear or not np.isfinite(row["value"]) or length == 0 or gain > WORTH * promise:
+        if np.isfinite(gain) and gain > 0.75 * promise:
+            radius = max(radius, 2 * length)
+        out.update(b=trial.tolist(), value=float(worst), recent=list(row["_recent"]), n_w=int(row["_n_w"]))
+        out.update({c: row[f"_{c}"] for c in ("sse", "sae", "worst", "n_resid")})
+        b, pool = trial, {**(pool if linear else {}), **lines}
+    else:
+        far = max(extremes, key=lambda x: abs(x[1]))
+        if int(far[0]) in pool:  # the linearisation knew the row and was wrong about it
+            radius = length / 4
+        pool = {**lines, **pool}
+    table = np.stack(list(pool.values()))
+    lower = np.where(free, low, -np.inf)
+    e, J = table[:, 1] + table[:, 2:] @ b, table[:, 2:][:, free]
+    found = chebyshev(e, J, np.maximum(lower - b, -radius)[free], np.minimum(-lower - b, radius)[free])
+    step = np.zeros(layout.size)
+    step[free] = found.step
+    met = out["value"] - found.height <= SETTLED * out["value"] or radius < 1e-13
+    checked = linear or all(int(x) in lines for x in pool) and bool((trial == b).all())
+    # lines of a refused trial are measured at the centre before they may settle the fit
+    out.update(trial=(b if met and not checked else b + step).tolist(), bound=min(found.height, out["value"]), radius=radius)
+    out.update(done=bool(met and checked), pool=[x.tolist() for x in pool.values()])
+    return out
+
+
 def _finish(state: DataFrame, layout: Layout, s: int, given: bool, df: str, exog: int) -> DataFrame:
     """The fit table of the finished state; of a penalty path the step with the lowest BIC."""
     from panelwright.operators.estimate import FIT_FIELDS, _row
@@ -353,7 +397,8 @@ def _finish(state: DataFrame, layout: Layout, s: int, given: bool, df: str, exog
                     {
                         **{c: row[c] for c in ("series_id", "p", "d", "q", "sp", "sd", "sq", "mean", "drift", "objective", "alpha", "sse", "sae", "worst", "n_resid", "n_w")},
                         "model_id": row["model_id"].split("#")[0], "s": s, **_row(parts, row["mean"], row["drift"]), "k": k, "k_var": k_var,
-                        "lambda": row["lambda"], "recent": row["recent"], "converged": row["done"], "n_t": row["n"] - row["d"] - row["sd"] * s,
+                        "lambda": row["lambda"], "bound": row["bound"] if row["objective"] == "stable" else None,
+                        "recent": row["recent"], "converged": row["done"] and (row["objective"] != "stable" or row["worst"] - row["bound"] <= 2 * SETTLED * row["worst"]), "n_t": row["n"] - row["d"] - row["sd"] * s,
                         "_bic": row["n_w"] * np.log(max(variance, 1e-300)) + np.log(row["n_w"]) * freedom,
                     }
                 )
