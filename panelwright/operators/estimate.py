@@ -96,17 +96,22 @@ def linear_moments(
     """Moment matrices of a design by row class, gathered to one row per series.
 
     All AR candidates of a series are sub-matrices of the sums over the classes
-    their first row admits, so one scan serves every candidate.
+    their first row admits, so one scan serves every candidate.  Where ``rows`` has a column
+    ``centre`` (one value a series), target and lags are measured from it, which keeps the sums of a high level exact.
     """
+    centred = "centre" in rows.columns
+    shift = F.col("centre") if centred else F.lit(0.0)
+    own = {"w", *[f"ar_{i}" for i in range(1, max_p + 1)], *[f"sar_{k}" for k in range(1, max_sp + 1)]}
+    value = lambda c: F.col(c) - shift if centred and c in own else F.col(c)
     starts = _first_rows(max_p, max_sp, s)
     label = F.lit(0)
     for i, start in enumerate(starts):
         label = F.when(F.col("tw") > start, i).otherwise(label)
     columns = ["w", *exog_columns, *[f"ar_{i}" for i in range(1, max_p + 1)], *[f"sar_{k}" for k in range(1, max_sp + 1)]]
     sums = rows.groupBy(*keys, label.alias("served")).agg(
-        moment_array([F.col("w"), F.lit(1.0), *[F.col(c) for c in columns[1:]]]).alias("gram"), F.count(F.lit(1)).alias("rows")
+        moment_array([value("w"), F.lit(1.0), *[value(c) for c in columns[1:]]]).alias("gram"), F.count(F.lit(1)).alias("rows"), F.max(shift).alias("centre")
     )
-    return sums.groupBy(*keys).agg(F.collect_list(F.struct("served", "gram", "rows")).alias("moments"))
+    return sums.groupBy(*keys).agg(F.collect_list(F.struct("served", "gram", "rows")).alias("moments"), F.max("centre").alias("centre"))
 
 
 def fit_linear(
@@ -121,9 +126,9 @@ def fit_linear(
     size = layout.linear + 1
 
     @F.pandas_udf(FIT_FIELDS)
-    def solve(moments_: pd.Series, p: pd.Series, sp: pd.Series, mean: pd.Series, drift: pd.Series, lam: pd.Series, alpha: pd.Series) -> pd.DataFrame:
+    def solve(moments_: pd.Series, centre: pd.Series, p: pd.Series, sp: pd.Series, mean: pd.Series, drift: pd.Series, lam: pd.Series, alpha: pd.Series) -> pd.DataFrame:
         out = []
-        for parts, p_, sp_, m_, dr_, l_, a_ in zip(moments_, p, sp, mean, drift, lam, alpha):
+        for parts, level, p_, sp_, m_, dr_, l_, a_ in zip(moments_, centre, p, sp, mean, drift, lam, alpha):
             first = starts.index(max(p_, sp_ * s))
             upper = np.zeros(size * (size + 1) // 2)
             n = total = 0
@@ -136,12 +141,19 @@ def fit_linear(
             orders = (p_, 0, sp_, 0, int(m_ or dr_))
             used = np.flatnonzero(layout.mask(np.array([orders]))[0])
             at = used + 1
+            if level and not orders[4]:
+                # no constant takes up the centre: back to the sums of the values themselves
+                back = np.eye(size)
+                back[[0, *range(2 + exog, size)], 1] = level
+                G = back @ G @ back.T
             low = np.where(used > exog, -1.0, -np.inf)
             penal = 0.0 if l_ is None or np.isnan(l_) else float(l_)
             b = np.zeros(layout.size)
             b[used] = solve_bounded(G[np.ix_(at, at)], G[at, 0], low, -low, penal, 0.0 if a_ is None or np.isnan(a_) else float(a_))
             whole = np.concatenate([[1.0], -b])
             k = len(used) + 1
+            if level and orders[4]:
+                b[0] += level * (1.0 - b[1 + exog :].sum())
             row = _row(layout.split(b, orders), m_, dr_)
             row.update(
                 sse=max(float(whole @ G @ whole), 0.0), sae=None, worst=None, n_resid=n, n_w=total, k=k, k_var=k - exog,
@@ -151,7 +163,7 @@ def fit_linear(
         return pd.DataFrame(out, columns=[f.split()[0] for f in FIT_FIELDS.split(", ")])
 
     T = F.when(F.col("objective") == "elastic_net", F.col("lambda"))
-    joined = spec.join(moments, list(keys)).withColumn("_f", solve("moments", "p", "sp", "mean", "drift", T.cast("double"), "alpha"))
+    joined = spec.join(moments, list(keys)).withColumn("_f", solve("moments", F.coalesce("centre", F.lit(0.0)), "p", "sp", "mean", "drift", T.cast("double"), "alpha"))
     return joined.select(*[c for c in spec.columns if c != "lambda"], "_f.*")
 
 
@@ -167,14 +179,15 @@ def _row(parts: dict, mean, drift) -> dict:
 
 
 def differenced(
-    panel: DataFrame, orders: DataFrame, s: int, exog: DataFrame | None = None, pairs: Sequence[tuple[int, int]] | None = None
+    panel: DataFrame, orders: DataFrame, s: int, exog: DataFrame | None = None, pairs: Sequence[tuple[int, int]] | None = None, ends: DataFrame | None = None
 ) -> DataFrame:
     """``y``, ``w`` and regressors per ``(series_id, d, sd, t)``; ``w`` is null in the first d + sd*s rows.
 
-    ``pairs`` are the orders that may occur; without them they are read from ``orders``.
+    ``pairs`` are the orders that may occur; without them they are read from ``orders``.  ``ends`` are the lengths
+    ``n`` of the series, where they are known, and further values to carry.
     """
     pairs = order_pairs(orders) if pairs is None else pairs
-    ends = lengths(panel)
+    ends = lengths(panel) if ends is None else ends
     wanted = orders.select("series_id", "d", "sd").distinct().join(ends, "series_id")
     rows = attach(panel.select("series_id", "ts", "t", "y"), wanted).drop("blk")
     keys = ["series_id", "d", "sd"]
@@ -183,6 +196,34 @@ def differenced(
     return out if exog is None else out.join(exog.drop("t", "blk"), ["series_id", "ts"], "left")
 
 
+#: Objectives whose fit without MA terms is the least squares that the moments hold.
+LINEAR_OBJECTIVES = ("mse", "ml", "bilevel")
+DIFFERENCED = ["series_id", "d", "sd"]
+
+
+def is_linear() -> Column:
+    """Specification rows that moments settle: no MA terms and a squared objective."""
+    return (F.col("q") == 0) & (F.col("sq") == 0) & F.col("objective").isin(*LINEAR_OBJECTIVES)
+
+
+def series_moments(panel: DataFrame, orders: DataFrame, s: int, max_p: int, max_sp: int, pairs: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+    """One row per series and differencing orders with the moments of all AR candidates up to the given orders.
+
+    Its size does not depend on the length of the series, so no candidate without MA terms reads a row again.
+    """
+    ends = panel.groupBy("series_id").agg(F.max("t").alias("n"), F.avg("y").alias("_level"))
+    rows = differenced(panel, orders, s, None, pairs, ends).where("w IS NOT NULL")
+    lags = {f"ar_{i}": ("w", i) for i in range(1, max_p + 1)} | {f"sar_{k}": ("w", s * k) for k in range(1, max_sp + 1)}
+    centre = F.when(F.col("d") + F.col("sd") == 0, F.col("_level")).otherwise(0.0)
+    laid = with_lags(rows.select(*DIFFERENCED, "t", "tw", "w", centre.alias("centre")), lags, DIFFERENCED)
+    return linear_moments(laid, max_p, max_sp, s, keys=DIFFERENCED)
+
+
+def fit_from_moments(moments: DataFrame, spec: DataFrame, max_p: int, max_sp: int, s: int) -> DataFrame:
+    """Fits of linear specification rows with the columns of ``fit_packed``."""
+    return fit_linear(moments, spec, max_p, max_sp, s, keys=DIFFERENCED).withColumn("n_t", F.col("n_w"))
+
+
 def pack_series(
     panel: DataFrame,
     orders: DataFrame,
@@ -294,7 +335,8 @@ def fit_models(
 ) -> DataFrame:
     """Fit all specification rows and score them (``with_criteria``).
 
-    Series of more than one block are fitted by block passes instead of in one task.
+    Without regressors, models that have no MA terms are solved from moments whatever the length of the series.  Of the
+    others, series of more than one block are fitted by block passes instead of in one task.
     """
     from panelwright.operators.longfit import fit_long
 
@@ -302,11 +344,22 @@ def fit_models(
         numbered = exog if "t" in exog.columns else exog.join(panel.select("series_id", "ts", "t"), ["series_id", "ts"])
         exog, _ = auto_difference(numbered, exog_columns, s)
     pairs = order_pairs(spec) if pairs is None else pairs
-    packed = pack_series(panel, spec, s, exog, exog_columns, pairs)
-    fits = fit_packed(packed, spec, s, exog_columns, given, df)
-    long_fits = fit_long(panel, spec, s, exog, exog_columns, given, pairs, df)
-    if long_fits is not None:
-        fits = fits.unionByName(long_fits)
+    linear = is_linear() if exog is None and not given else F.lit(False)
+    # which ways are needed at all, and the orders of the design
+    found = spec.agg(F.count(F.when(linear, 1)).alias("linear"), F.count(F.when(~linear, 1)).alias("other"), *[F.max(F.when(linear, F.col(c))).alias(c) for c in ("p", "sp")]).first()
+    parts = []
+    if found["linear"]:
+        max_p, max_sp = found["p"], found["sp"] if s > 1 else 0
+        parts.append(fit_from_moments(series_moments(panel, spec.where(linear), s, max_p, max_sp, pairs), spec.where(linear), max_p, max_sp, s))
+    if found["other"] or not parts:
+        rest = spec.where(~linear)
+        parts.append(fit_packed(pack_series(panel, rest, s, exog, exog_columns, pairs), rest, s, exog_columns, given, df))
+        long_fits = fit_long(panel, rest, s, exog, exog_columns, given, pairs, df)
+        if long_fits is not None:
+            parts.append(long_fits)
+    fits = parts[0]
+    for part in parts[1:]:
+        fits = fits.unionByName(part)
     return with_criteria(fits, s)
 
 

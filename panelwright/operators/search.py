@@ -16,16 +16,18 @@ from pyspark.sql import Window
 
 from panelwright.functions.criteria import log_likelihood, model_criterion, residual_variance
 from panelwright.operators.differencing import difference_by_orders, order_pairs
-from panelwright.operators.estimate import SPEC_COLUMNS, fit_packed, pack_series, with_criteria
+from panelwright.operators.estimate import LINEAR_OBJECTIVES, SPEC_COLUMNS, fit_from_moments, fit_packed, is_linear, pack_series, series_moments, with_criteria
 from panelwright.operators.longfit import fit_long
 from panelwright.operators.outliers import detect_outliers
 from panelwright.operators.panel import check_settings, is_constant, lengths, model_label
 from panelwright.operators.unitroot import ndiffs, nsdiffs
-from panelwright.plans.blocks import attach, restrict
+from panelwright.plans.blocks import attach, block_rows, restrict
 from panelwright.plans.session import checkpoint
 
 MAX_MODELS = 94
 MAX_ROUNDS = 100
+#: How a search came to its end (column ``stopped_at``).
+ENDED, AT_MODELS, AT_ROUNDS = "ended", "model limit", "round limit"
 ORDERS = ("p", "q", "sp", "sq")
 
 # The moves of the stepwise search in the order they are tried,
@@ -276,7 +278,7 @@ class Fitter:
         return rows.withColumn("model_id", model_label())
 
     def score(self, candidates: DataFrame, penalty: bool = True) -> DataFrame:
-        """Fits of the distinct candidates with ``ic`` and ``admissible``."""
+        """Fits of the distinct candidates with ``ic`` and ``admissible``; a fit that did not converge is not admissible."""
         spec = self.specs(candidates, penalty).select(*SPEC_COLUMNS).dropDuplicates(["series_id", "model_id"])
         fits = self.fit(spec)
         offset: Column | float = 0.0
@@ -286,7 +288,7 @@ class Fitter:
         scored = with_criteria(fits, self.s, offset)
         v = F.col("sigma2")
         ic = model_criterion(self.criterion)(F.col("n_t"), F.col("k"), v, offset)
-        ok = F.lit(True)
+        ok = F.coalesce("converged", F.lit(False))
         if self.assert_stationary:
             ok = ok & F.col("stationary")
         if self.assert_invertible:
@@ -302,30 +304,50 @@ def grid_search(state: DataFrame, fitter: Fitter, max_order: int = 5) -> DataFra
     scored = candidates.select("series_id", "model_id", "candidate").join(fits, ["series_id", "model_id"])
     eligible = scored.where(F.col("admissible") | (F.col("candidate") == 0))
     best = eligible.groupBy("series_id").agg(F.min(F.struct(F.round("ic", 8).alias("ic"), "candidate", "model_id")).alias("_best"))
-    return fits.join(best.select("series_id", F.col("_best.model_id").alias("model_id")), ["series_id", "model_id"])
+    return fits.join(best.select("series_id", F.col("_best.model_id").alias("model_id")), ["series_id", "model_id"]).withColumn("stopped_at", F.lit(ENDED))
+
+
+def code() -> Column:
+    """Number of a model in a mixed radix of its orders and constants: what a search remembers of a candidate."""
+    out = F.lit(0).cast("long")
+    for name in ORDERS:
+        out = out * 64 + F.col(name)
+    return out * 4 + F.col("mean").cast("int") * 2 + F.col("drift").cast("int")
+
+
+FITTED = "map<bigint,struct<ic:double,admissible:boolean>>"
+
+
+def _by_code(scored: DataFrame, name: str = "_new") -> DataFrame:
+    """One row a series: criterion and admissibility of its fitted models by their codes."""
+    fits = scored.select("series_id", code().alias("code"), F.struct("ic", "admissible").alias("fit"))
+    return fits.groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("code", "fit"))).alias(name))
+
+
+def _chosen(state: DataFrame, best: DataFrame, fitter: Fitter, penalty: bool = True) -> DataFrame:
+    """The fits of the best models (series_id, best struct of orders and constants, stopped_at)."""
+    rows = state.drop(*ORDERS, "mean", "drift").join(best, "series_id").select("*", *[F.col(f"best.{n}").alias(n) for n in (*ORDERS, "mean", "drift")])
+    return fitter.score(rows, penalty).join(best.select("series_id", "stopped_at"), "series_id")
 
 
 def _best(scored: DataFrame) -> DataFrame:
-    return (
-        scored.where("admissible")
-        .groupBy("series_id")
-        .agg(F.min(F.struct(F.round("ic", 8).alias("ic"), F.col("candidate"), F.col("model_id"), *ORDERS)).alias("_b"))
-        .select("series_id", "_b.*")
-        .drop("candidate")
-    )
+    """The admissible model with the lowest criterion, the earlier candidate on ties: series_id, ic, best."""
+    rank = F.struct(F.round("ic", 8).alias("ic"), F.col("candidate"), F.struct(*ORDERS, "mean", "drift").alias("best"))
+    return scored.where("admissible").groupBy("series_id").agg(F.min(rank).alias("_b")).select("series_id", "_b.ic", "_b.best")
 
 
 def stepwise_naive(state: DataFrame, fitter: Fitter, max_order: int = 5, joint: bool = False, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Rounds of neighbours around the best model until no round lowers the criterion."""
+    """Rounds of neighbours around the best model until no round lowers the criterion.
+
+    A series carries the codes of the models it has fitted, so a round reads one row a series, whatever went before.
+    """
     base = state.drop(*ORDERS)
     seeds = checkpoint(fitter.specs(seed_candidates(base, fitter.s), penalty=False))
-    fits = checkpoint(fitter.score(seeds, penalty=False))
-    named = seeds.select("series_id", "model_id", "candidate", *ORDERS)
-    drop = [*ORDERS]
-    best = checkpoint(_best(named.join(fits.drop(*drop), ["series_id", "model_id"])))
-    active = best
+    scored = checkpoint(_scored(seeds, fitter))
+    seen = scored.groupBy("series_id").agg(F.collect_set(code()).alias("seen"))
+    search = checkpoint(base.select("series_id").join(_best(scored), "series_id").join(seen, "series_id").withColumn("active", F.lit(True)))
     for _ in range(max_rounds):
-        centre = active.select("series_id", *ORDERS).join(base, "series_id")
+        centre = search.where("active").select("series_id", "seen", *[F.col(f"best.{n}").alias(n) for n in ORDERS]).join(base, "series_id")
         found = neighbours_nonseasonal(centre, max_order)
         if fitter.s > 1:
             found = found.unionByName(neighbours_seasonal(centre, max_order).withColumn("candidate", F.col("candidate") + 9))
@@ -333,21 +355,50 @@ def stepwise_naive(state: DataFrame, fitter: Fitter, max_order: int = 5, joint:
                 found = found.unionByName(neighbours_joint(centre, max_order).withColumn("candidate", F.col("candidate") + 18))
         found = found.withColumn("candidate", F.col("candidate") * 2)
         found = found.unionByName(toggle_constant(found).withColumn("candidate", F.col("candidate") + 1))
-        fresh = checkpoint(
-            fitter.specs(found, penalty=False).join(fits.select("series_id", "model_id"), ["series_id", "model_id"], "left_anti")
-        )
+        fresh = checkpoint(fitter.specs(found.where(~F.array_contains("seen", code())).drop("seen"), penalty=False))
         if fresh.isEmpty():
+            search = search.withColumn("active", F.lit(False))
             break
-        scored = checkpoint(fitter.score(fresh, penalty=False))
-        fits = fits.unionByName(scored)
-        named = fresh.select("series_id", "model_id", "candidate", *ORDERS)
-        round_best = _best(named.join(scored.drop(*drop), ["series_id", "model_id"]))
-        kept = active.select("series_id", F.col("ic").alias("_ic")).join(round_best, "series_id").where("ic <= _ic").drop("_ic")
-        active = checkpoint(kept)
-        if active.isEmpty():
+        scored = checkpoint(_scored(fresh, fitter))
+        tried = scored.groupBy("series_id").agg(F.collect_set(code()).alias("_tried"))
+        rows = search.join(tried, "series_id", "left").join(_best(scored).select("series_id", F.col("ic").alias("_ic"), F.col("best").alias("_best")), "series_id", "left")
+        better = F.coalesce(F.col("active") & (F.col("_ic") <= F.col("ic")), F.lit(False))
+        search = checkpoint(
+            rows.select(
+                "series_id", F.when(better, F.col("_ic")).otherwise(F.col("ic")).alias("ic"), F.when(better, F.col("_best")).otherwise(F.col("best")).alias("best"),
+                F.array_union("seen", F.coalesce("_tried", F.array().cast("array<bigint>"))).alias("seen"), better.alias("active"),
+            )
+        )
+        if search.where("active").isEmpty():
             break
-        best = checkpoint(best.join(active.select("series_id"), "series_id", "left_anti").unionByName(active))
-    return fits.join(best.select("series_id", "model_id"), ["series_id", "model_id"])
+    best = search.select("series_id", "best", F.when(F.col("active"), AT_ROUNDS).otherwise(ENDED).alias("stopped_at"))
+    return _chosen(state, best, fitter, penalty=False)
+
+
+def _scored(specs: DataFrame, fitter: Fitter) -> DataFrame:
+    """Candidate rows with the criterion and admissibility of their fits; equal models of a series are fitted once."""
+    fits = fitter.score(specs, penalty=False).select("series_id", "model_id", "ic", "admissible")
+    return specs.select("series_id", "model_id", "candidate", *ORDERS, "mean", "drift").join(fits, ["series_id", "model_id"])
+
+
+def open_moves(known: Column, limit: Column) -> tuple[Column, Column]:
+    """Stepwise moves of a state row that were not visited, in their order, and those of them within the model limit."""
+    moves_ = []
+    for i, move in enumerate(MOVES, 1):
+        drop = i == DROP_CONSTANT
+        orders = [(F.col(n) + v).cast("int").alias(n) for n, v in zip(ORDERS, move, strict=True)]
+        inside = F.lit(True)
+        for n, v in zip(ORDERS, move, strict=True):
+            inside = inside & (F.col(n) + v >= 0) & (F.col(n) + v <= F.col(f"max_{n}"))
+        mean, drift = (F.lit(False), F.lit(False)) if drop else (F.col("mean"), F.col("drift"))
+        number = F.lit(0).cast("long")
+        for n, v in zip(ORDERS, move, strict=True):
+            number = number * 64 + F.col(n) + v
+        number = number * 4 + mean.cast("int") * 2 + drift.cast("int")
+        ok = inside & (F.col("mean") | F.col("drift")) if drop else inside
+        moves_.append(F.struct(F.lit(i).alias("move"), *orders, mean.alias("mean"), drift.alias("drift"), number.alias("code"), ok.alias("ok")))
+    left = F.filter(F.array(*moves_), lambda m: m["ok"] & ~F.array_contains("visited", m["code"]))
+    return left, F.slice(left, F.lit(1), F.greatest(limit, F.lit(0)))
 
 
 def stepwise(state: DataFrame, fitter: Fitter, start: tuple[int, int, int, int] = (2, 2, 1, 1), max_models: int = MAX_MODELS) -> DataFrame:
@@ -357,6 +408,9 @@ def stepwise(state: DataFrame, fitter: Fitter, start: tuple[int, int, int, int]
     move with the lowest number; only moves up to it count as visited.  Fits are
     deterministic, so orders, visited set and model count equal those of trying
     the moves one at a time.
+
+    A series' row holds the codes it has visited and the criteria of the models it has fitted; a round joins the new
+    fits to that row and decides within it, so plan and tables stay the same from round to round.
     """
     base = state.drop(*ORDERS)
     constant = F.col("mean") | F.col("drift")
@@ -385,13 +439,14 @@ def stepwise(state: DataFrame, fitter: Fitter, start: tuple[int, int, int, int]
     )
     flags = base.withColumn("_o", F.explode(options)).drop("mean", "drift").select("*", "_o.*").drop("_o").where("wanted").drop("wanted")
     opened = checkpoint(fitter.specs(flags))
-    fits = checkpoint(fitter.score(opened))
-    scored = opened.select("series_id", "candidate", "model_id", *ORDERS).join(
-        fits.select("series_id", "model_id", "ic", "admissible"), ["series_id", "model_id"]
+    scored = checkpoint(
+        opened.select("series_id", "candidate", "model_id", *ORDERS, "mean", "drift").join(fitter.score(opened).select("series_id", "model_id", "ic", "admissible"), ["series_id", "model_id"])
     )
+    model = F.struct(*ORDERS, "mean", "drift")
     by_number = scored.groupBy("series_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("candidate", F.struct("ic", "admissible", "model_id", *ORDERS)))).alias("_s"),
+        F.map_from_entries(F.collect_list(F.struct("candidate", F.struct("ic", "admissible", model.alias("model"))))).alias("_s"),
         F.count_distinct("candidate").cast("int").alias("k"),
+        F.collect_set(code()).alias("visited"),
     )
     at = lambda i: F.try_element_at("_s", F.lit(i))
     best = F.when(at(1)["admissible"], at(1)).otherwise(at(2))
@@ -400,41 +455,47 @@ def stepwise(state: DataFrame, fitter: Fitter, start: tuple[int, int, int, int]
         wins = F.coalesce(at(i)["admissible"] & (at(i)["ic"] < best["ic"]), F.lit(False))
         centre = F.when(wins, at(i)).otherwise(centre)
         best = F.when(wins, at(i)).otherwise(best)
-    search = base.join(by_number, "series_id").withColumns({"_best": best, "_centre": centre})
+    search = base.join(by_number, "series_id").join(_by_code(scored.dropDuplicates(["series_id", "model_id"]), "known"), "series_id").withColumns({"_best": best, "_centre": centre})
     search = search.select(
-        *base.columns, "k", F.col("_best.ic").alias("ic"), F.col("_best.model_id").alias("best_id"), *[F.col(f"_centre.{n}").alias(n) for n in ORDERS]
-    )
-    search = checkpoint(search)
-    finished = []
-    on = ["series_id", "model_id"]
-    visited = opened.select(*on).distinct()
+        *base.columns, "k", "visited", "known", F.col("_best.ic").alias("ic"), F.col("_best.model").alias("best"), F.lit(None).cast("string").alias("stopped_at"),
+        *[F.col(f"_centre.model.{n}").alias(n) for n in ORDERS],
+    )
+    columns = search.columns
+    search, finished = checkpoint(search), []
     while True:
-        # one job opens the moves, one fits the new ones, one settles the round
-        known = fits.select(*on, F.lit(True).alias("_known"))
-        rank = F.row_number().over(Window.partitionBy("series_id").orderBy("move"))
-        open_moves = fitter.specs(moves(search).withColumnRenamed("ic", "best_ic")).join(visited, on, "left_anti")
-        open_moves = open_moves.withColumn("_rank", rank).where(F.col("k") + F.col("_rank") <= max_models)
-        open_moves = checkpoint(open_moves.join(known, on, "left"))
-        fits = fits.unionByName(checkpoint(fitter.score(open_moves.where("_known IS NULL"))))
-        tried = open_moves.select(*on, "move", "_rank", "best_ic", *ORDERS).join(fits.select(*on, "ic", "admissible"), on)
-        improves = F.col("admissible") & (F.col("ic") < F.col("best_ic"))
-        first = F.min(F.when(improves, F.col("move"))).over(Window.partitionBy("series_id"))
-        tried = checkpoint(tried.withColumn("_winner", first))
-        visited = visited.unionByName(tried.where("_winner IS NULL OR move <= _winner").select(*on))
-        winner = tried.where("move = _winner").select(
-            "series_id", "_rank", F.col("ic").alias("_ic"), F.col("model_id").alias("_id"), *[F.col(n).alias(f"_{n}") for n in ORDERS]
-        )
-        finished.append(search.join(winner, "series_id", "left_anti").select("series_id", F.col("best_id").alias("model_id")))
-        if winner.isEmpty():
+        left, within = open_moves(F.col("known"), F.lit(max_models) - F.col("k"))
+        rows = search.withColumns({"_left": F.size(left), "_open": within})
+        missing = F.filter("_open", lambda m: ~F.map_contains_key("known", m["code"]))
+        fresh = rows.select(*[c for c in base.columns if c not in ("mean", "drift")], F.explode(missing).alias("_m"))
+        fresh = fitter.specs(fresh.select(*[c for c in base.columns if c not in ("mean", "drift")], *[F.col(f"_m.{n}").alias(n) for n in (*ORDERS, "mean", "drift")]))
+        rows = rows.join(_by_code(fitter.score(fresh)), "series_id", "left")
+        rows = rows.withColumn("known", F.when(F.col("_new").isNull(), F.col("known")).otherwise(F.map_concat("known", F.col("_new"))))
+        fitted = lambda m: F.try_element_at(F.col("known"), m["code"])
+        improves = lambda m: F.coalesce(fitted(m)["admissible"] & (fitted(m)["ic"] < F.col("ic")), F.lit(False))
+        rows = rows.withColumn("_place", F.array_position(F.transform("_open", improves), True).cast("int"))
+        won = F.col("_place") > 0
+        winner = F.when(won, F.element_at("_open", F.greatest("_place", F.lit(1))))
+        rows = rows.withColumns({"_won": won, "_winner": winner})
+        visited = F.transform(F.when(F.col("_won"), F.slice("_open", F.lit(1), F.greatest("_place", F.lit(1)))).otherwise(F.col("_open")), lambda m: m["code"])
+        stopped = F.when(F.col("_left") > F.size("_open"), AT_MODELS).otherwise(ENDED)
+        orders = {n: F.when(F.col("_won"), F.col(f"_winner.{n}")).otherwise(F.col(n)) for n in ORDERS}
+        moved = rows.withColumns(
+            {
+                "visited": F.array_union("visited", visited), "k": F.when(F.col("_won"), F.col("k") + F.col("_place")).otherwise(F.col("k")),
+                "stopped_at": F.when(~F.col("_won"), stopped), "_ic": F.when(F.col("_won"), fitted(F.col("_winner"))["ic"]).otherwise(F.col("ic")),
+                "best": F.when(F.col("_won"), F.struct(*[F.col(f"_winner.{n}").alias(n) for n in (*ORDERS, "mean", "drift")])).otherwise(F.col("best")),
+                **orders,
+            }
+        ).withColumn("ic", F.col("_ic"))
+        search = checkpoint(moved.select(*columns))
+        finished.append(search.where("stopped_at IS NOT NULL").select("series_id", "best", "stopped_at"))
+        search = search.where("stopped_at IS NULL")
+        if search.isEmpty():
             break
-        moved = search.join(winner, "series_id").withColumns(
-            {"k": F.col("k") + F.col("_rank"), "ic": F.col("_ic"), "best_id": F.col("_id"), **{n: F.col(f"_{n}") for n in ORDERS}}
-        )
-        search = checkpoint(moved.select(*search.columns))
     chosen = finished[0]
     for part in finished[1:]:
         chosen = chosen.unionByName(part)
-    return fits.join(chosen, on)
+    return _chosen(state, checkpoint(chosen), fitter)
 
 
 def auto_sarima(
@@ -486,17 +547,28 @@ def auto_sarima(
     fixed = constant_diff_model(orders.join(level, "series_id").drop("n"), exog is not None).unionByName(flat)
 
     every = orders.select("series_id", "d", "sd").unionByName(flat.select("series_id", "d", "sd"))
-    packed = pack_series(panel, every, s, exog, exog_columns, used)
-    dummies = None
-    if outliers:
-        dummies = checkpoint(_dummy_positions(varied, orders, s, exog, exog_columns))
-        packed = packed.join(dummies, "series_id", "left")
-    packed = checkpoint(packed)
+    dummies = checkpoint(_dummy_positions(varied, orders, s, exog, exog_columns)) if outliers else None
+    # candidates without MA terms are solved from moments, measured once; the others from arrays or, where a series is long, block passes
+    moments, most_sp = None, max_sp if s > 1 else 0
+    if exog is None and dummies is None:
+        moments = checkpoint(series_moments(panel, every, s, max_p, most_sp, used))
+    packed, any_long = None, False
+    if moments is None or max_q > 0 or (s > 1 and max_sq > 0) or objective not in LINEAR_OBJECTIVES:
+        packed = pack_series(panel, every, s, exog, exog_columns, used)
+        packed = checkpoint(packed if dummies is None else packed.join(dummies, "series_id", "left"))
+        any_long = not lengths(panel).where(F.col("n") > block_rows(panel)).isEmpty()
 
     def fit(spec: DataFrame) -> DataFrame:
-        fits = fit_packed(packed, spec, s, exog_columns)
-        long_fits = fit_long(panel, spec, s, exog, exog_columns, pairs_=used, dummies=dummies)
-        return fits if long_fits is None else fits.unionByName(long_fits)
+        linear = is_linear() if moments is not None else F.lit(False)
+        parts = [] if moments is None else [fit_from_moments(moments, spec.where(linear), max_p, most_sp, s)]
+        if packed is not None:
+            parts.append(fit_packed(packed, spec.where(~linear), s, exog_columns))
+            long_fits = fit_long(panel, spec.where(~linear), s, exog, exog_columns, pairs_=used, dummies=dummies) if any_long else None
+            parts += [] if long_fits is None else [long_fits]
+        fits = parts[0]
+        for part in parts[1:]:
+            fits = fits.unionByName(part)
+        return fits
 
     fitter = Fitter(fit, s, criterion, objective, lam, alpha, assert_stationary, assert_invertible)
     simple = Fitter(fit, s, criterion, "mse", None, None, False, False)
@@ -510,7 +582,7 @@ def auto_sarima(
     limits = {"stepwise": {"max_models": max_models}, "stepwiseNaive": {"max_order": max_order, "max_rounds": max_rounds}, "grid": {"max_order": max_order}}
     chosen = method(state, fitter, **limits[search])
     if not fixed.isEmpty():
-        chosen = chosen.unionByName(simple.score(fixed).select(*chosen.columns))
+        chosen = chosen.unionByName(simple.score(fixed).withColumn("stopped_at", F.lit(ENDED)).select(*chosen.columns))
     # positions of the dummies, whose coefficients follow those of the regressors in beta
     return chosen if dummies is None else chosen.join(dummies, "series_id", "left")
 

@@ -113,3 +113,34 @@ def test_regressor_lowers_an_order(series):
     with_exog = search.select_orders(log, 12, exog=exog, exog_columns=["x1"]).collect()[0]
     assert (plain.d, plain.sd) == (1, 0)
     assert (with_exog.d, with_exog.sd) == (0, 0)
+
+
+def test_stepwise_of_a_made_up_series_equals_one_at_a_time(series):
+    """Default moves over a seasonal series without a constant, and the mark of a search that met its limit."""
+    panel = series.where("series_id = 'air' AND t <= 72").coalesce(1)
+    y = np.array([r.y for r in panel.orderBy("t").collect()])
+    limits = dict(d=1, D=1, max_p=2, max_q=2, max_sp=1, max_sq=1, mean=False, drift=False)
+    chosen = search.auto_sarima(panel, 12, **limits).collect()[0]
+    found, models = one_at_a_time(y, 1, 1, 12, (2, 2, 1, 1))
+    assert (chosen.p, chosen.q, chosen.sp, chosen.sq) == found and chosen.stopped_at == search.ENDED and chosen.converged
+    few = search.auto_sarima(panel, 12, **limits, max_models=5).collect()[0]
+    assert (few.p, few.q, few.sp, few.sq) == one_at_a_time(y, 1, 1, 12, (2, 2, 1, 1), 5)[0] and few.stopped_at == search.AT_MODELS and models > 5
+
+
+def test_rounds_of_the_naive_search_are_marked(series):
+    panel = series.where("series_id = 'air' AND t <= 60").coalesce(1)
+    one = search.auto_sarima(panel, d=1, max_p=3, max_q=0, mean=False, drift=False, search="stepwiseNaive").collect()[0]
+    every = search.auto_sarima(panel, d=1, max_p=3, max_q=0, mean=False, drift=False, search="grid").collect()[0]
+    assert one.stopped_at == every.stopped_at == search.ENDED and one.ic >= every.ic
+    none = search.auto_sarima(panel, d=1, max_p=3, max_q=0, mean=False, drift=False, search="stepwiseNaive", max_rounds=0).collect()[0]
+    assert none.stopped_at == search.AT_ROUNDS and none.p in (0, 1, 2)
+
+
+def test_fits_that_did_not_converge_are_not_admissible(series):
+    from panelwright.operators import estimate
+
+    panel = series.where("series_id = 'air' AND t <= 40").coalesce(1)
+    spec = estimate.specify(panel, p=1)
+    fits = estimate.fit_models(panel, spec, pairs=[(0, 0)])
+    fitter = search.Fitter(lambda rows: fits.select(*[c for c in fits.columns if c not in ("sigma2", "loglik", "aic", "aicc", "bic", "stationary", "invertible")]).withColumn("converged", F.lit(False)), 1, "aicc", "mse", None, None, False, False)
+    assert [r.admissible for r in fitter.score(spec).collect()] == [False]
