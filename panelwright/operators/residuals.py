@@ -1,19 +1,19 @@
 """In-sample residuals and fitted values of stored models.
 
-The linear part is a projection over block-window lags.  The MA recursion needs
-the residuals before the block; they are found without walking the series in one
-task: every block runs from a zero start, the end states are chained over the
+The linear part is a projection over block-window lags.  The MA recursion is a fold over the array of a block, in
+SQL functions.  It needs the residuals before the block; they are found without walking the series in one
+task: every block of a long series runs from a zero start, the end states are chained over the
 blocks (the recursion is linear, so the chain is exact), and the blocks run again
 from their true start.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.operators.estimate import differenced
@@ -115,44 +115,77 @@ def fitted_residuals(
     )
 
 
-def _ma_recursion(rows: DataFrame, s: int) -> DataFrame:
-    size = block_rows(rows)
-    slim = rows.select("series_id", "model_id", "blk", "n", "ts", "t", "y", "w", "_u", "ma", "sma")
-
-    def zero_start(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("t")
-        lags, theta = ma_terms(block.iloc[0], s)
-        start = np.zeros(max(lags, default=0))
-        out = recurse(block["_u"].fillna(0.0).to_numpy(), lags, theta, start)
-        return pd.DataFrame({**{k: [block.iloc[0][k]] for k in MODEL_BLOCK}, "ma": [block.iloc[0]["ma"]], "sma": [block.iloc[0]["sma"]], "state": [end_state(out, start)]})
-
-    def chain(blocks: pd.DataFrame) -> pd.DataFrame:
-        # one short row per block of a long series
-        blocks = blocks.sort_values("blk")
-        lags, theta = ma_terms(blocks.iloc[0], s)
+#: Steps of the recursion that are appended to one array before it is closed; longer arrays would be copied too often.
+CHUNK = 128
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _run_block(u: Column, lags: Column, theta: Column, start: Column) -> Column:
+    """Outputs of ``out_t = u_t - sum theta_j out_{t - lag_j}`` over the array ``u``; ``start`` holds the outputs before it, oldest first.
+
+    A fold over chunks carries the last outputs; within a chunk a fold appends one output a step.
+    """
+
+    def step(held: Column, value: Column) -> Column:
+        terms = F.zip_with(lags, theta, lambda lag, coefficient: coefficient * F.element_at(held, -lag))
+        return F.concat(held, F.array(value - F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)))
+
+    width = F.size(start)
+
+    def closed(state: Column, grown: Column) -> Column:
+        # the last outputs, then those of this chunk
+        own = F.slice(grown, width + 1, F.size(grown) - width)
+        return F.struct(F.slice(grown, F.size(grown) - width + 1, width).alias("tail"), F.concat(state["done"], F.array(own)).alias("done"))
+
+    def whole(values: Column) -> Column:
+        grow = lambda state, at: F.aggregate(F.slice(values, at, F.lit(CHUNK)), state["tail"], step)
+        return F.aggregate(F.sequence(F.lit(1), F.size(values), F.lit(CHUNK)), empty, lambda state, at: _bound(grow(state, at), lambda grown: closed(state, grown)))
+
+    empty = F.struct(start.alias("tail"), F.array().cast("array<array<double>>").alias("done"))
+    return _bound(u, whole)
+
+
+def _chained(ends: pd.Series, ma: pd.Series, sma: pd.Series, s: int, size: int) -> pd.Series:
+    """States before each block after the first, oldest first, from the end states of zero starts; one short row a block."""
+    out = []
+    for parts, short, seasonal in zip(ends, ma, sma, strict=True):
+        lags, theta = ma_terms({"ma": short, "sma": seasonal}, s)
         m = max(lags, default=0)
         whole = np.linalg.matrix_power(step_matrix(lags, theta, m), size) if m else np.zeros((0, 0))
         state, starts = np.zeros(m), []
-        for end in blocks["state"]:
-            state = np.asarray(end) + whole @ state
-            starts.append(state)
-        return pd.DataFrame({"series_id": blocks["series_id"], "model_id": blocks["model_id"], "blk": blocks["blk"] + 1, "start": starts})
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("t")
-        lags, theta = ma_terms(block.iloc[0], s)
-        given = block.iloc[0]["start"]
-        start = np.zeros(max(lags, default=0)) if given is None else np.asarray(given)
-        out = recurse(block["_u"].fillna(0.0).to_numpy(), lags, theta, start)
-        result = block[["series_id", "model_id", "ts", "t", "y", "w"]].copy()
-        result["resid"] = np.where(block["_u"].isna(), np.nan, out)
-        return result
-
-    ts = rows.schema["ts"].dataType.simpleString()
-    earlier = slim.where((F.col("blk") + 1) * size < F.col("n"))
-    ends = earlier.groupBy(*MODEL_BLOCK).applyInPandas(
-        zero_start, "series_id string, model_id string, blk long, ma array<double>, sma array<double>, state array<double>"
+        for end in parts:
+            state = np.asarray(end["state"], dtype=float)[::-1] + whole @ state
+            starts.append({"blk": int(end["blk"]) + 1, "start": state[::-1].tolist()})
+        out.append(starts)
+    return pd.Series(out)
+
+
+def _ma_recursion(rows: DataFrame, s: int) -> DataFrame:
+    """The recursion as array folds, one row per model and block; Python sees only the states between blocks of long series."""
+    size = block_rows(rows)
+    empty = F.array().cast("array<double>")
+    line = F.struct("t", "ts", "y", "w", "_u")
+    packed = rows.groupBy(*MODEL_BLOCK).agg(
+        F.sort_array(F.collect_list(line)).alias("rows"), F.max("n").alias("n"), F.first("ma").alias("ma"), F.first("sma").alias("sma")
     )
-    starts = ends.groupBy("series_id", "model_id").applyInPandas(chain, "series_id string, model_id string, blk long, start array<double>")
-    out = f"series_id string, model_id string, ts {ts}, t long, y double, w double, resid double"
-    return slim.join(starts, MODEL_BLOCK, "left").groupBy(*MODEL_BLOCK).applyInPandas(run, out).withColumn("resid", F.nanvl("resid", F.lit(None).cast("double")))
+    ma, sma = F.coalesce("ma", empty), F.coalesce("sma", empty)
+    count = lambda values, step: F.transform(values, lambda x, i: (i + 1) * step)
+    packed = packed.withColumns({"lags": F.concat(count(ma, 1), count(sma, s)), "theta": F.concat(ma, sma)})
+    packed = packed.withColumn("width", F.when(F.size("lags") > 0, F.array_max("lags")).otherwise(0))
+    packed = packed.withColumn("zero", F.array_repeat(F.lit(0.0), F.col("width")))
+    u = F.transform("rows", lambda x: F.coalesce(x["_u"], F.lit(0.0)))
+    # only series of several blocks have states to pass on
+    earlier = packed.where((F.col("blk") + 1) * size < F.col("n"))
+    ends = earlier.select("series_id", "model_id", "ma", "sma", F.struct("blk", _run_block(u, F.col("lags"), F.col("theta"), F.col("zero"))["tail"].alias("state")).alias("end"))
+    ends = ends.groupBy("series_id", "model_id").agg(F.sort_array(F.collect_list("end")).alias("ends"), F.first("ma").alias("ma"), F.first("sma").alias("sma"))
+    chain = F.pandas_udf(lambda e, a, b: _chained(e, a, b, s, size), "array<struct<blk:bigint,start:array<double>>>")
+    starts = ends.select("series_id", "model_id", F.explode(chain("ends", ma, sma)).alias("_s")).select("series_id", "model_id", "_s.*")
+    begun = packed.join(starts, MODEL_BLOCK, "left").withColumn("start", F.coalesce("start", "zero"))
+    found = begun.select("series_id", "model_id", "rows", F.flatten(_run_block(u, F.col("lags"), F.col("theta"), F.col("start"))["done"]).alias("resid"))
+    each = found.select("series_id", "model_id", F.explode(F.arrays_zip("rows", "resid")).alias("_z"))
+    value = F.when(F.col("_z.rows._u").isNotNull(), F.col("_z.resid"))
+    return each.select("series_id", "model_id", "_z.rows.ts", "_z.rows.t", "_z.rows.y", "_z.rows.w", value.alias("resid"))

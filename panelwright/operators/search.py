@@ -6,6 +6,7 @@ of every series that is still searching; finished series drop out.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -307,12 +308,16 @@ def grid_search(state: DataFrame, fitter: Fitter, max_order: int = 5) -> DataFra
     return fits.join(best.select("series_id", F.col("_best.model_id").alias("model_id")), ["series_id", "model_id"]).withColumn("stopped_at", F.lit(ENDED))
 
 
-def code() -> Column:
-    """Number of a model in a mixed radix of its orders and constants: what a search remembers of a candidate."""
+def code(model: Column | None = None) -> Column:
+    """Number of a model in a mixed radix of its orders and constants: what a search remembers of a candidate.
+
+    The model is a struct, or the row itself.
+    """
+    value = F.col if model is None else lambda name: model[name]
     out = F.lit(0).cast("long")
     for name in ORDERS:
-        out = out * 64 + F.col(name)
-    return out * 4 + F.col("mean").cast("int") * 2 + F.col("drift").cast("int")
+        out = out * 64 + value(name)
+    return out * 4 + value("mean").cast("int") * 2 + value("drift").cast("int")
 
 
 FITTED = "map<bigint,struct<ic:double,admissible:boolean>>"
@@ -381,24 +386,22 @@ def _scored(specs: DataFrame, fitter: Fitter) -> DataFrame:
     return specs.select("series_id", "model_id", "candidate", *ORDERS, "mean", "drift").join(fits, ["series_id", "model_id"])
 
 
-def open_moves(known: Column, limit: Column) -> tuple[Column, Column]:
-    """Stepwise moves of a state row that were not visited, in their order, and those of them within the model limit."""
-    moves_ = []
-    for i, move in enumerate(MOVES, 1):
-        drop = i == DROP_CONSTANT
-        orders = [(F.col(n) + v).cast("int").alias(n) for n, v in zip(ORDERS, move, strict=True)]
-        inside = F.lit(True)
-        for n, v in zip(ORDERS, move, strict=True):
-            inside = inside & (F.col(n) + v >= 0) & (F.col(n) + v <= F.col(f"max_{n}"))
-        mean, drift = (F.lit(False), F.lit(False)) if drop else (F.col("mean"), F.col("drift"))
-        number = F.lit(0).cast("long")
-        for n, v in zip(ORDERS, move, strict=True):
-            number = number * 64 + F.col(n) + v
-        number = number * 4 + mean.cast("int") * 2 + drift.cast("int")
-        ok = inside & (F.col("mean") | F.col("drift")) if drop else inside
-        moves_.append(F.struct(F.lit(i).alias("move"), *orders, mean.alias("mean"), drift.alias("drift"), number.alias("code"), ok.alias("ok")))
-    left = F.filter(F.array(*moves_), lambda m: m["ok"] & ~F.array_contains("visited", m["code"]))
-    return left, F.slice(left, F.lit(1), F.greatest(limit, F.lit(0)))
+def open_moves() -> Column:
+    """Stepwise moves of a state row that stay inside the bounds and were not visited, in their order."""
+    listed = F.from_json(F.lit(json.dumps(MOVES)), "array<array<int>>")
+
+    def moved(shift: Column, at: Column) -> Column:
+        keeps = at + 1 != DROP_CONSTANT
+        orders = [(F.col(n) + shift[i]).alias(n) for i, n in enumerate(ORDERS)]
+        return F.struct((at + 1).alias("move"), *orders, (F.col("mean") & keeps).alias("mean"), (F.col("drift") & keeps).alias("drift"))
+
+    def wanted(m: Column) -> Column:
+        ok = (m["move"] != DROP_CONSTANT) | F.col("mean") | F.col("drift")
+        for n in ORDERS:
+            ok = ok & m[n].between(F.lit(0), F.col(f"max_{n}"))
+        return ok & ~F.array_contains("visited", code(m))
+
+    return F.filter(F.transform(listed, moved), wanted)
 
 
 def stepwise(state: DataFrame, fitter: Fitter, start: tuple[int, int, int, int] = (2, 2, 1, 1), max_models: int = MAX_MODELS) -> DataFrame:
@@ -463,30 +466,24 @@ def stepwise(state: DataFrame, fitter: Fitter, start: tuple[int, int, int, int]
     columns = search.columns
     search, finished = checkpoint(search), []
     while True:
-        left, within = open_moves(F.col("known"), F.lit(max_models) - F.col("k"))
-        rows = search.withColumns({"_left": F.size(left), "_open": within})
-        missing = F.filter("_open", lambda m: ~F.map_contains_key("known", m["code"]))
-        fresh = rows.select(*[c for c in base.columns if c not in ("mean", "drift")], F.explode(missing).alias("_m"))
-        fresh = fitter.specs(fresh.select(*[c for c in base.columns if c not in ("mean", "drift")], *[F.col(f"_m.{n}").alias(n) for n in (*ORDERS, "mean", "drift")]))
+        rows = search.withColumn("_left", open_moves()).withColumn("_open", F.slice("_left", F.lit(1), F.greatest(F.lit(max_models) - F.col("k"), F.lit(0))))
+        missing = F.filter("_open", lambda m: ~F.map_contains_key("known", code(m)))
+        fresh = fitter.specs(rows.select(*[c for c in base.columns if c not in ("mean", "drift")], F.explode(missing).alias("_m")).select("*", *[F.col(f"_m.{n}").alias(n) for n in (*ORDERS, "mean", "drift")]).drop("_m"))
         rows = rows.join(_by_code(fitter.score(fresh)), "series_id", "left")
         rows = rows.withColumn("known", F.when(F.col("_new").isNull(), F.col("known")).otherwise(F.map_concat("known", F.col("_new"))))
-        fitted = lambda m: F.try_element_at(F.col("known"), m["code"])
-        improves = lambda m: F.coalesce(fitted(m)["admissible"] & (fitted(m)["ic"] < F.col("ic")), F.lit(False))
-        rows = rows.withColumn("_place", F.array_position(F.transform("_open", improves), True).cast("int"))
-        won = F.col("_place") > 0
-        winner = F.when(won, F.element_at("_open", F.greatest("_place", F.lit(1))))
-        rows = rows.withColumns({"_won": won, "_winner": winner})
-        visited = F.transform(F.when(F.col("_won"), F.slice("_open", F.lit(1), F.greatest("_place", F.lit(1)))).otherwise(F.col("_open")), lambda m: m["code"])
-        stopped = F.when(F.col("_left") > F.size("_open"), AT_MODELS).otherwise(ENDED)
-        orders = {n: F.when(F.col("_won"), F.col(f"_winner.{n}")).otherwise(F.col(n)) for n in ORDERS}
-        moved = rows.withColumns(
-            {
-                "visited": F.array_union("visited", visited), "k": F.when(F.col("_won"), F.col("k") + F.col("_place")).otherwise(F.col("k")),
-                "stopped_at": F.when(~F.col("_won"), stopped), "_ic": F.when(F.col("_won"), fitted(F.col("_winner"))["ic"]).otherwise(F.col("ic")),
-                "best": F.when(F.col("_won"), F.struct(*[F.col(f"_winner.{n}").alias(n) for n in (*ORDERS, "mean", "drift")])).otherwise(F.col("best")),
-                **orders,
-            }
-        ).withColumn("ic", F.col("_ic"))
+        ahead = lambda m: F.coalesce(F.try_element_at("known", code(m))["admissible"] & (F.try_element_at("known", code(m))["ic"] < F.col("ic")), F.lit(False))
+        rows = rows.withColumn("_place", F.array_position(F.transform("_open", ahead), True).cast("int"))
+        won, first = F.col("_place") > 0, F.greatest("_place", F.lit(1))
+        winner = F.when(won, F.element_at("_open", first))
+        rows = rows.withColumn("_winner", winner)
+        tried = F.transform(F.when(won, F.slice("_open", F.lit(1), first)).otherwise(F.col("_open")), code)
+        stopped = F.when(F.size("_left") > F.size("_open"), AT_MODELS).otherwise(ENDED)
+        model = F.struct(*[F.col(f"_winner.{n}").alias(n) for n in (*ORDERS, "mean", "drift")])
+        new = {n: F.coalesce(f"_winner.{n}", n) for n in ORDERS} | {
+            "visited": F.array_union("visited", tried), "k": F.when(won, F.col("k") + F.col("_place")).otherwise(F.col("k")), "stopped_at": F.when(~won, stopped),
+            "ic": F.when(won, F.try_element_at("known", code(F.col("_winner")))["ic"]).otherwise(F.col("ic")), "best": F.when(won, model).otherwise(F.col("best")),
+        }
+        moved = rows.select(*[new[c].alias(c) if c in new else c for c in columns])
         search = checkpoint(moved.select(*columns))
         finished.append(search.where("stopped_at IS NOT NULL").select("series_id", "best", "stopped_at"))
         search = search.where("stopped_at IS NULL")

@@ -64,3 +64,39 @@ def test_linear_rows_read_no_arrays(spark):
     assert "MapInPandas" in plan(mixed) and mixed.count() == 2
     regressed = estimate.fit_models(panel, spec, 1, panel.select("series_id", "ts", F.sin("t").alias("x1")), ["x1"], pairs=[(0, 0)])
     assert "MapInPandas" in plan(regressed)
+
+
+@pytest.mark.parametrize("block", [None, "16"])
+def test_residuals_with_ma_terms_by_a_loop(spark, block):
+    """The array folds, over chunks and blocks, against one plain loop; no pandas groups in the plan."""
+    from panelwright.operators.residuals import fitted_residuals
+
+    n, s = 300, 4
+    y = level_series(n, 2.0, 6)
+    rows = [(name, dt.date(2000, 1, 1) + dt.timedelta(days=i), i + 1, float(v)) for name, k in (("a", n), ("b", 7)) for i, v in enumerate(y[:k])]
+    panel = spark.createDataFrame(rows, "series_id string, ts date, t long, y double")
+    models = [([0.4], [0.5, -0.2], [0.3]), ([], [0.9], []), ([0.2], [], [])]
+    specs = None
+    for ar, ma, sma in models:
+        spec = estimate.specify(panel, p=len(ar), q=len(ma), sq=len(sma), s=s)
+        values = {"c": 0.1, "trend": 0.0, "ar": ar, "ma": ma, "sar": [], "sma": sma, "beta": []}
+        for name, v in values.items():
+            spec = spec.withColumn(name, F.lit(v) if isinstance(v, float) else F.array(*[F.lit(x) for x in v]).cast("array<double>"))
+        specs = spec if specs is None else specs.unionByName(spec)
+    if block:
+        spark.conf.set(BLOCK_ROWS_SETTING, block)
+    try:
+        found = fitted_residuals(panel, specs, s, max_p=1, max_sp=0, pairs=[(0, 0)])
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.series_id, r.model_id, r.t): r.resid for r in found.collect()}
+    finally:
+        spark.conf.unset(BLOCK_ROWS_SETTING)
+    want = {}
+    for spec in specs.collect():
+        w = y[: n if spec.series_id == "a" else 7]
+        lags = [(i + 1, v) for i, v in enumerate(spec.ma)] + [(s * (i + 1), v) for i, v in enumerate(spec.sma)]
+        e = np.zeros(len(w))
+        for t in range(max(spec.p, spec.q, spec.sq * s), len(w)):
+            e[t] = w[t] - 0.1 - sum(v * w[t - 1] for v in spec.ar) - sum(v * e[t - lag] for lag, v in lags if lag <= t)
+            want[spec.series_id, spec.model_id, t + 1] = e[t]
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
