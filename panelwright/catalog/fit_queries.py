@@ -13,6 +13,7 @@ from panelwright.functions import criteria as C
 from panelwright.functions.polynomials import full_polynomial, invertible, psi_weights, stationary
 from panelwright.operators import estimate as E
 from panelwright.operators.panel import fit_status
+from panelwright.operators.penalty import lasso_path
 from panelwright.operators.residuals import fitted_residuals
 
 SUP = P.supplier_months_sql()
@@ -162,6 +163,43 @@ def lambda_path_query(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(E.lambda_path_panel(P.supplier_months(spark, sf), 4), "lambda", digits=8)
 
 
+PENALTY = f"""lagged AS (SELECT series_id, w, lag(w) OVER (PARTITION BY series_id ORDER BY t) AS a, count(w) OVER (PARTITION BY series_id) AS n_w FROM dif),
+ m AS (SELECT series_id, any_value(n_w) AS n_w, count(*) AS n, sum(a * a) AS xx, sum(w * a) AS xy, sum(w * w) AS yy FROM lagged WHERE a IS NOT NULL GROUP BY 1),
+ cent AS (SELECT series_id, t, n, y - avg(y) OVER (PARTITION BY series_id) AS v FROM p),
+ tops AS (SELECT series_id, greatest(abs(sum(v * v1)), abs(sum(v * v2))) / any_value(n) AS top FROM
+   (SELECT *, lag(v, 1) OVER g AS v1, lag(v, 2) OVER g AS v2 FROM cent WINDOW g AS (PARTITION BY series_id ORDER BY t)) WHERE t > 2 GROUP BY 1),
+ path AS (SELECT series_id, step, exp(ln(top) + ln(1e-4) * step / 9.0::DOUBLE) AS l FROM tops, range(0, 10) x(step)),
+ tried AS (SELECT *, least(greatest(sign(xy) * greatest(abs(xy) - l / 2, 0) / xx, -1), 1) AS phi FROM m JOIN path USING (series_id)),
+ scored AS (SELECT *, yy - 2 * phi * xy + phi * phi * xx AS sse, n_w * ln((yy - 2 * phi * xy + phi * phi * xx) / (n_w - 1)) + ln(n_w) * n AS bic FROM tried)"""
+
+
+# both regressors zero down to lambda_1, one of them down to lambda_2, least squares at 0
+@query("lasso_path_ar2", f"""WITH {DIF}, lagged AS (SELECT series_id, w, lag(w, 1) OVER g AS a, lag(w, 2) OVER g AS b FROM dif WINDOW g AS (PARTITION BY series_id ORDER BY t)),
+ m AS (SELECT series_id, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(w * a) AS wa, sum(w * b) AS wb FROM lagged WHERE b IS NOT NULL GROUP BY 1),
+ o AS (SELECT *, abs(wa) >= abs(wb) AS front, CASE WHEN abs(wa) >= abs(wb) THEN wa ELSE wb END AS r, CASE WHEN abs(wa) >= abs(wb) THEN wb ELSE wa END AS o,
+   CASE WHEN abs(wa) >= abs(wb) THEN aa ELSE bb END AS g FROM m),
+ j AS (SELECT *, greatest(2 * (o - ab / g * r) / (1 - ab / g * sign(r)), 2 * (o - ab / g * r) / (-1 - ab / g * sign(r))) AS l2 FROM o),
+ s AS (SELECT series_id, 0 AS step, 2 * abs(r) AS l, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, front FROM j
+   UNION ALL SELECT series_id, 1, l2, (r - l2 * sign(r) / 2) / g, 0, front FROM j
+   UNION ALL SELECT series_id, 2, 0, CASE WHEN front THEN wa * bb - wb * ab ELSE wb * aa - wa * ab END / (aa * bb - ab * ab),
+     CASE WHEN front THEN wb * aa - wa * ab ELSE wa * bb - wb * ab END / (aa * bb - ab * ab), front FROM j)
+ SELECT series_id, step, {r('l')} AS "lambda", {r('CASE WHEN front THEN x ELSE y END')} AS phi_1, {r('CASE WHEN front THEN y ELSE x END')} AS phi_2 FROM s""")
+def lasso_path_query(spark: SparkSession, sf: str) -> DataFrame:
+    panel = P.supplier_months(spark, sf)
+    spec = E.specify(panel, p=2, d=1, mean=False, objective="elastic_net", alpha=1.0)
+    path = lasso_path(E.linear_moments(design_rows(panel, spec, 2), 2), spec, 2)
+    return rounded(path.select("series_id", "step", "lambda", F.col("ar")[0].alias("phi_1"), F.col("ar")[1].alias("phi_2")), "lambda", "phi_1", "phi_2")
+
+
+# the penalty a path settles on, with the closed form of one regressor
+@query("select_penalty_ar1", f"""WITH {DIF}, {PENALTY}
+ SELECT series_id, {r('arg_min(l, (bic, step))', 8)} AS "lambda", {r('arg_min(phi, (bic, step))')} AS phi, {r('arg_min(sse, (bic, step))')} AS sse FROM scored GROUP BY 1""")
+def select_penalty_query(spark: SparkSession, sf: str) -> DataFrame:
+    panel = P.supplier_months(spark, sf)
+    fits = E.fit_models(panel, ar1_spec(panel, mean=False, objective="elastic_net", alpha=1.0), pairs=[(1, 0)])
+    return rounded(rounded(fits.select("series_id", "lambda", F.col("ar")[0].alias("phi"), "sse"), "lambda", digits=8), "phi", "sse")
+
+
 @query("fit_given_coefficients", f"WITH {DIF}, lagged AS (SELECT series_id, w, lag(w) OVER (PARTITION BY series_id ORDER BY t) AS w1 FROM dif) "
        f"SELECT series_id, {r('avg(w - 0.5::DOUBLE * w1)')} AS c, 0.5::DOUBLE AS phi, {r('var_pop(w - 0.5::DOUBLE * w1) * count(*)')} AS sse "
        "FROM lagged WHERE w1 IS NOT NULL GROUP BY 1")

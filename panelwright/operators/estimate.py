@@ -20,6 +20,7 @@ from panelwright.operators.differencing import difference_by_orders, order_pairs
 from panelwright.operators.kernel import Layout, fit_candidates, lambda_path
 from panelwright.operators.moments import full_matrix, moment_array, solve_bounded
 from panelwright.operators.panel import lengths, model_label
+from panelwright.operators.regpath import solve_penalised
 from panelwright.operators.unitroot import auto_difference
 from panelwright.plans.blocks import KEYS, attach, block_rows, with_lags
 
@@ -141,18 +142,23 @@ def fit_linear(
             orders = (p_, 0, sp_, 0, int(m_ or dr_))
             used = np.flatnonzero(layout.mask(np.array([orders]))[0])
             at = used + 1
-            if level and not orders[4]:
-                # no constant takes up the centre: back to the sums of the values themselves
+            penal = 0.0 if l_ is None or np.isnan(l_) else float(l_)
+            apart = level and (not orders[4] or penal)
+            if apart:
+                # no free constant takes up the centre: back to the sums of the values themselves
                 back = np.eye(size)
                 back[[0, *range(2 + exog, size)], 1] = level
                 G = back @ G @ back.T
             low = np.where(used > exog, -1.0, -np.inf)
-            penal = 0.0 if l_ is None or np.isnan(l_) else float(l_)
             b = np.zeros(layout.size)
-            b[used] = solve_bounded(G[np.ix_(at, at)], G[at, 0], low, -low, penal, 0.0 if a_ is None or np.isnan(a_) else float(a_))
+            mix = 0.0 if a_ is None or np.isnan(a_) else float(a_)
+            if penal and mix:
+                b[used] = solve_penalised(G[np.ix_(at, at)], G[at, 0], low, -low, penal, mix)
+            else:
+                b[used] = solve_bounded(G[np.ix_(at, at)], G[at, 0], low, -low, penal)
             whole = np.concatenate([[1.0], -b])
             k = len(used) + 1
-            if level and orders[4]:
+            if level and not apart:
                 b[0] += level * (1.0 - b[1 + exog :].sum())
             row = _row(layout.split(b, orders), m_, dr_)
             row.update(
@@ -335,26 +341,39 @@ def fit_models(
 ) -> DataFrame:
     """Fit all specification rows and score them (``with_criteria``).
 
-    Without regressors, models that have no MA terms are solved from moments whatever the length of the series.  Of the
-    others, series of more than one block are fitted by block passes instead of in one task.
+    Without regressors, models that have no MA terms are solved from moments whatever the length of the series, those with
+    an elastic net included (``penalty``).  Of the others, series of more than one block are fitted by block passes instead of in one task.
     """
     from panelwright.operators.longfit import fit_long
+    from panelwright.operators.penalty import is_penalised, select_penalty
 
     if exog is not None and auto_exog_difference:
         numbered = exog if "t" in exog.columns else exog.join(panel.select("series_id", "ts", "t"), ["series_id", "ts"])
         exog, _ = auto_difference(numbered, exog_columns, s)
     pairs = order_pairs(spec) if pairs is None else pairs
-    linear = is_linear() if exog is None and not given else F.lit(False)
-    # which ways are needed at all, and the orders of the design
-    found = spec.agg(F.count(F.when(linear, 1)).alias("linear"), F.count(F.when(~linear, 1)).alias("other"), *[F.max(F.when(linear, F.col(c))).alias(c) for c in ("p", "sp")]).first()
+    plain = exog is None and not given
+    linear = is_linear() if plain else F.lit(False)
+    penalised = is_penalised() if plain and df == "residuals" else F.lit(False)
+    rest = ~(linear | penalised)
+    # which ways are needed at all, and the orders of the designs
+    ways = {"linear": linear, "penalised": penalised, "rest": rest}
+    found = spec.agg(
+        *[F.count(F.when(way, 1)).alias(name) for name, way in ways.items()], *[F.max(F.when(linear | penalised, F.col(c))).alias(c) for c in ("p", "sp")]
+    ).first()
     parts = []
-    if found["linear"]:
+    if found["linear"] or found["penalised"]:
         max_p, max_sp = found["p"], found["sp"] if s > 1 else 0
-        parts.append(fit_from_moments(series_moments(panel, spec.where(linear), s, max_p, max_sp, pairs), spec.where(linear), max_p, max_sp, s))
-    if found["other"] or not parts:
-        rest = spec.where(~linear)
-        parts.append(fit_packed(pack_series(panel, rest, s, exog, exog_columns, pairs), rest, s, exog_columns, given, df))
-        long_fits = fit_long(panel, rest, s, exog, exog_columns, given, pairs, df)
+        mine = spec.where(linear | penalised)
+        moments = series_moments(panel, mine, s, max_p, max_sp, pairs)
+        if found["linear"]:
+            parts.append(fit_from_moments(moments, spec.where(linear), max_p, max_sp, s))
+        if found["penalised"]:
+            parts.append(select_penalty(panel, moments, spec.where(penalised), max_p, max_sp, s))
+
+    if found["rest"] or not parts:
+        others = spec.where(rest)
+        parts.append(fit_packed(pack_series(panel, others, s, exog, exog_columns, pairs), others, s, exog_columns, given, df))
+        long_fits = fit_long(panel, others, s, exog, exog_columns, given, pairs, df)
         if long_fits is not None:
             parts.append(long_fits)
     fits = parts[0]
