@@ -90,6 +90,29 @@ def fit_bilevel_query(spark: SparkSession, sf: str) -> DataFrame:
     return ar1_view(E.fit_models(panel, ar1_spec(panel, objective="bilevel"), pairs=[(1, 0)]))
 
 
+def _ma1_zoom() -> str:
+    """zoom(series_id, theta, sse): least squared residuals of an MA(1) by a recursion over time for a grid of coefficients, zoomed tenfold eight times."""
+    parts = ["z0 AS (SELECT DISTINCT series_id, 0.0::DOUBLE AS theta FROM dif)"]
+    for i in range(8):
+        reach, steps = (1.0, 40) if i == 0 else (0.05 / 10 ** (i - 1), 20)
+        parts += [
+            f"c{i} AS (SELECT DISTINCT series_id, greatest(least(theta + {reach!r}::DOUBLE * (j / {steps}.0::DOUBLE), 1), -1) AS theta FROM z{i}, (SELECT unnest(range(-{steps}, {steps + 1})) AS j))",
+            f"r{i} AS (SELECT series_id, theta, 1 AS i, 0.0::DOUBLE AS e, 0.0::DOUBLE AS sse FROM c{i} UNION ALL "
+            f"SELECT a.series_id, a.theta, a.i + 1, x.w - a.theta * a.e, a.sse + (x.w - a.theta * a.e) ** 2 FROM r{i} a JOIN x ON x.series_id = a.series_id AND x.i = a.i + 1)",
+            f"z{i + 1} AS (SELECT series_id, arg_min(theta, sse) AS theta, min(sse) AS sse FROM (SELECT series_id, theta, max_by(sse, i) AS sse FROM r{i} GROUP BY 1, 2) GROUP BY 1)",
+        ]
+    return "x AS (SELECT series_id, w, row_number() OVER (PARTITION BY series_id ORDER BY t) AS i FROM dif), " + ", ".join(parts)
+
+
+# of an MA term the whole range is searched; the residual before the first counted one is 0
+@query("fit_bilevel_ma1", f"WITH RECURSIVE {DIF}, {_ma1_zoom()} SELECT series_id, {r('theta', 4)} AS theta, {r('sse', 4)} AS sse, true AS converged FROM z8")
+def fit_bilevel_ma1_query(spark: SparkSession, sf: str) -> DataFrame:
+    panel = P.supplier_months(spark, sf)
+    fits = E.fit_models(panel, E.specify(panel, d=1, q=1, mean=False, objective="bilevel"), pairs=[(1, 0)])
+    out = rounded(fits.select("series_id", F.col("ma")[0].alias("theta"), "sse", "converged"), "theta", digits=4)
+    return rounded(out, "sse", digits=4)
+
+
 # without lags the fits are the mean and the median
 @query("fit_location_models", f"""WITH {SUP}, c AS (SELECT series_id, avg(y) AS mean, median(y) AS mid FROM p GROUP BY 1)
  SELECT series_id, {r('var_pop(y) * count(*)', 4)} AS least_squares, {r('sum(abs(y - mid))', 4)} AS least_absolute FROM p JOIN c USING (series_id) GROUP BY 1""")

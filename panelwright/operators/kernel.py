@@ -11,6 +11,7 @@ lags, MA lags, seasonal MA lags; unused ones are masked.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations, product
 
 import numpy as np
 
@@ -20,6 +21,10 @@ from panelwright.operators.moments import solve_bounded
 #: Rounds after which a fit is given up as not converged; the same for series of any length.
 ROUNDS = 400
 SETTLED = 1e-16
+#: Values other than zero of an MA coefficient on the grid of starts of a bilevel search.
+STARTS = (-1.0, -0.95, -0.8, -0.5, -0.25, 0.25, 0.5, 0.8, 0.95, 1.0)
+#: Rounds of a bilevel descent before curvature by differences takes over.
+EARLY = 50
 
 
 @dataclass
@@ -268,6 +273,111 @@ def minimise(problem: _Problem, b: np.ndarray, rounds: int = ROUNDS, tol: float
     return best, converged
 
 
+def start_points(free: np.ndarray, linear: int) -> np.ndarray:
+    """MA parts a bilevel search descends from: points of a grid with at most two coefficients off zero; zero comes first."""
+    at = np.flatnonzero(free[linear:])
+    points = [np.zeros(len(free) - linear)]
+    for count in (1, 2):
+        for places in combinations(at, count):
+            for values in product(STARTS, repeat=count):
+                point = np.zeros(len(free) - linear)
+                point[list(places)] = values
+                points.append(point)
+    return np.stack(points)
+
+
+def grid_minima(points: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Numbers of the start points that no neighbour, one grid step away in one coefficient, undercuts; zero is always one."""
+    line = np.array(sorted({0.0, *STARTS}))
+    places = np.searchsorted(line, points)
+    at = {tuple(p): i for i, p in enumerate(places)}
+    found = []
+    for i, place in enumerate(places):
+        near = (at.get((*place[:k], place[k] + step, *place[k + 1 :])) for k in range(len(place)) for step in (-1, 1))
+        if i == 0 or all(values[i] <= values[j] for j in near if j is not None):
+            found.append(i)
+    return np.array(found)
+
+
+def newton(problem: _Problem, b: np.ndarray, rounds: int = 30, h: float = 1e-6):
+    """Newton steps in the MA part of one candidate, the rest solved exactly; curvature by differences of the exact gradient.
+
+    Gauss-Newton leaves out the curvature of the residuals and creeps where that rules, near the unit circle.
+    """
+    L = problem.layout.linear
+    at = L + np.flatnonzero(problem.free[0, L:])
+    lower, upper = problem.lower[0, at], problem.upper[0, at]
+    around = problem.subset(np.zeros(1 + 2 * len(at), dtype=int))
+    for _ in range(rounds):
+        points = np.repeat(b[None], 1 + 2 * len(at), axis=0)
+        for i, place in enumerate(at):
+            points[1 + 2 * i, place] += h
+            points[2 + 2 * i, place] -= h
+        points, values, E, J = around.evaluate(points)
+        slopes = 2 * np.einsum("tc,tci->ci", E, J[:, :, at])
+        b, g = points[0], slopes[0]
+        H = (slopes[1::2] - slopes[2::2]) / (2 * h)
+        H = (H + H.T) / 2
+        held = ((b[at] <= lower) & (g > 0)) | ((b[at] >= upper) & (g < 0))
+        go = np.flatnonzero(~held)
+        if not len(go):
+            return b, True
+        if np.linalg.eigvalsh(H[np.ix_(go, go)]).min() <= 0:
+            return b, False
+        step = np.zeros(len(at))
+        step[go] = np.linalg.solve(H[np.ix_(go, go)], -g[go])
+        step = np.clip(b[at] + step, lower, upper) - b[at]
+        # twice what the step can gain, against the rounding of the sum
+        if abs(step @ H @ step) <= 1e-15 * values[0]:
+            return b, True
+        trial = b.copy()
+        for _ in range(30):
+            trial[at] = b[at] + step
+            new, value, _, _ = problem.evaluate(trial[None])
+            if value[0] < values[0]:
+                break
+            step = step / 2
+        else:
+            return b, False
+        b = new[0]
+    return b, False
+
+
+def _best_descent(problem: _Problem, b: np.ndarray):
+    """Lowest of the descents from the minima of every candidate's grid, the rest solved exactly at each point: parameters, converged flags."""
+    T, L = len(problem.w), problem.layout.linear
+    b, done = b.copy(), np.zeros(len(b), dtype=bool)
+    width = max(1, int(8e6 // max(1, (T + 1) * problem.layout.size)))
+
+    def of(count: int, c: int):
+        return problem.subset(np.full(count, c))
+
+    def descend(part: np.ndarray, c: int):
+        x, settled = minimise(of(len(part), c), part, EARLY)
+        for i in np.flatnonzero(~settled):
+            x[i], settled[i] = newton(of(1, c), x[i])
+        late = np.flatnonzero(~settled)
+        if len(late):
+            x[late], settled[late] = minimise(of(len(late), c), x[late])
+        return x, settled
+
+    for c in range(len(b)):
+        points = start_points(problem.free[c], L)
+        x = np.repeat(b[c][None], len(points), axis=0)
+        x[:, L:] += points
+        if len(points) > 1:
+            parts = [x[at : at + width] for at in range(0, len(x), width)]
+            x = x[grid_minima(points, np.concatenate([of(len(part), c).evaluate(part)[1] for part in parts]))]
+        ended = [descend(part, c) for part in (x[at : at + width] for at in range(0, len(x), width))]
+        x, settled = (np.concatenate(part) for part in zip(*ended, strict=True))
+        value = np.concatenate([of(1, c).value(residuals(problem.w, problem.F, problem.layout, one[None], problem.mask[[c]], problem.valid[:, [c]], False)[0], one[None]) for one in x])
+        # of descents that meet in one optimum, one that settled there
+        near = np.flatnonzero(value <= value.min() * (1 + 1e-10))
+        best = next((i for i in near if settled[i]), near[0]) if len(near) else 0
+        b[c], done[c] = x[best], settled[best]
+    return b, done
+
+
 def _least_worst_of_all(problem: _Problem, b: np.ndarray):
     """Least largest residual of every candidate: parameters, lower bounds, converged flags."""
     b, bound, done = b.copy(), np.zeros(len(b)), np.zeros(len(b), dtype=bool)
@@ -343,7 +453,7 @@ def _fit_chunk(w, y, exog, orders, s, objective, lam, alpha, fixed, df) -> list[
     K_var = K - layout.exog
     if objective in ("mse", "ml", "bilevel", "mae", "stable"):
         problem.nested = objective == "bilevel"
-        b, done = minimise(problem, b)
+        b, done = (_best_descent if problem.nested else minimise)(problem, b)
         problem.nested = False
         if objective == "mae":
             problem.absolute = True

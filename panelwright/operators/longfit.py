@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.operators.kernel import ROUNDS, Layout, _bounded_step, next_gain, step_is_small
+from panelwright.operators.kernel import ROUNDS, Layout, _bounded_step, grid_minima, next_gain, start_points, step_is_small
 from panelwright.operators.minimax import SETTLED, WORTH, chebyshev
 from panelwright.operators.moments import full_matrix, pairs
 from panelwright.operators.panel import lengths
@@ -85,6 +85,10 @@ def fit_long(
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     rows = checkpoint(rows.repartition(tasks, *SERIES, "blk"))
     active = checkpoint(_start(wanted, panel, rows, layout, given, df))
+    if not wanted.where("objective = 'bilevel' AND q + sq > 0").isEmpty():
+        gridded = (F.col("objective") == "bilevel") & F.col("model_id").contains("#")
+        measured = _measure(rows, active.where(gridded), layout, exog_columns, s, limit)
+        active = checkpoint(active.where(~gridded).unionByName(_minima(active.where(gridded), measured, layout)))
     finished = []
     for _ in range(ROUNDS):
         state = checkpoint(_advance(active, _measure(rows, active, layout, exog_columns, s, limit), layout))
@@ -99,7 +103,7 @@ def fit_long(
 
 
 def _start(wanted: DataFrame, panel: DataFrame, rows: DataFrame, layout: Layout, given: bool, df: str) -> DataFrame:
-    """State rows at the origin; an elastic net without a penalty becomes one row per step of its path."""
+    """State rows at the origin; an elastic net without a penalty becomes one row per step of its path, a bilevel search one per start."""
     from panelwright.operators.estimate import GIVEN_COLUMNS, lambda_path_panel
 
     k = F.col("p") + F.col("q") + F.col("sp") + F.col("sq") + F.col("mean").cast("int") + F.col("drift").cast("int") + 1
@@ -140,16 +144,42 @@ def _start(wanted: DataFrame, panel: DataFrame, rows: DataFrame, layout: Layout,
                             b[place : place + len(values)] = values
                             free[place : place + len(values)] = False
                 start = {
-                    "free": free.tolist(), "b": b.tolist(), "trial": b.tolist(), "value": np.inf, "gram": [], "sse": np.nan, "sae": np.nan,
+                    "free": free.tolist(), "value": np.inf, "gram": [], "sse": np.nan, "sae": np.nan,
                     "worst": np.nan, "n_resid": 0, "n_w": 0, "recent": [], "mu": 1e-4 if layout.ma_lags else 1e-12, "calm": 0, "phase": 0, "ref": 1.0, "last": [0.0] * layout.size, "gain": 1.0, "done": False,
                     "bound": 0.0, "radius": np.inf, "pool": [],
                 }
-                out.append({**{c: row[c] for c in carried if c != "n_marks"}, **start})
+                points = start_points(free, layout.linear) if row["objective"] == "bilevel" else np.zeros((1, layout.size - layout.linear))
+                for i, point in enumerate(points):
+                    at = np.concatenate([b[: layout.linear], b[layout.linear :] + point]).tolist()
+                    name = row["model_id"] if len(points) == 1 else f"{row['model_id']}#{i}"
+                    out.append({**{c: row[c] for c in carried if c != "n_marks"}, "model_id": name, **start, "b": at, "trial": at})
             yield pd.DataFrame(out, columns=FIELDS)
 
     return with_lambda.select(*carried, *(GIVEN_COLUMNS if given else [])).mapInPandas(run, STATE)
 
 
+def _minima(active: DataFrame, measured: DataFrame, layout: Layout) -> DataFrame:
+    """The start points of every bilevel search that are minima of its grid, the rest solved exactly from the moments of one pass."""
+    lower = np.full(layout.size, -np.inf)
+    lower[1 + layout.exog :] = -1.0
+
+    def run(starts: pd.DataFrame) -> pd.DataFrame:
+        starts = starts.iloc[starts["model_id"].str.rsplit("#", n=1).str[1].astype(int).argsort()]
+        values = []
+        for row in starts.to_dict("records"):
+            G = full_matrix(np.asarray(row["_gram"], dtype=float), layout.size + 1)
+            free = np.asarray(row["free"], dtype=bool)
+            inner = free & (np.arange(layout.size) < layout.linear)
+            low = np.where(free, lower, -np.inf)
+            step = _bounded_step(G[1:, 1:], G[1:, 0], np.asarray(row["b"]), inner, low, -low)
+            values.append(G[0, 0] + 2 * G[1:, 0] @ step + step @ G[1:, 1:] @ step)
+        points = start_points(np.asarray(starts.iloc[0]["free"], dtype=bool), layout.linear)
+        return starts.iloc[grid_minima(points, np.array(values))][FIELDS]
+
+    both = active.join(measured.select("series_id", "model_id", "_gram"), ["series_id", "model_id"])
+    return both.groupBy("series_id", F.substring_index("model_id", "#", 1)).applyInPandas(run, STATE)
+
+
 def _missing(value) -> bool:
     return value is None or (isinstance(value, float) and np.isnan(value))
 
@@ -372,7 +402,7 @@ def _exchange_row(row: dict, layout: Layout, low: np.ndarray) -> dict:
 
 
 def _finish(state: DataFrame, layout: Layout, s: int, given: bool, df: str, exog: int) -> DataFrame:
-    """The fit table of the finished state; of a penalty path the step with the lowest BIC."""
+    """The fit table of the finished state; of a penalty path, or the starts of a bilevel search, the one with the lowest BIC."""
     from panelwright.operators.estimate import FIT_FIELDS, _row
 
     spec_fields = "series_id string, model_id string, p int, d int, q int, sp int, sd int, sq int, s int, mean boolean, drift boolean, objective string, alpha double"
