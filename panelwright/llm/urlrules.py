@@ -5,17 +5,18 @@ one of ``_-.%``) or the end; ``|`` at its start or end ties it to that end of th
 tokens are the runs of letters and digits that separators enclose, so they are whole tokens of every URL that
 matches.  Each rule is filed under the one of its tokens that the fewest URLs hold, by a count over
 all URLs; a URL looks up its own tokens and runs the regular expressions of the rules it finds, and no others.
-Rules without such a token are tried on every URL.  Exceptions (allow) beat blocks; without a match the verdict is allow.
+Patterns match in any case.  Rules without such a token are tried on every URL.  Exceptions (allow) beat blocks; without a match the verdict is allow.
 
 A host rule (host and path prefix) fits its host and all subdomains; the longest decides before any pattern.
 
 Null URL, or one without ``://``, has an empty host and path, and is judged by patterns alone (null: none).
-Rows that repeat are judged once each; an empty table gives no rows; other columns are ignored.
+URLs of any length are judged whole, a final line feed included.  Rows that repeat are judged once each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -43,15 +44,22 @@ class Pattern:
 
     @property
     def regex(self) -> str:
-        """For lower-cased URLs; the same in Python, Java and RE2."""
-        body = self.text.strip("|")
-        parts = [r"(?:[^a-z0-9_.%-]|$)" if c == "^" else r"[\s\S]*" if c == "*" else re.escape(c) for c in body]
-        return ("^" if self.text.startswith("|") else "") + "".join(parts) + ("$" if self.text.endswith("|") and len(self.text) > 1 else "")
+        """For lower-cased URLs, with the end as RE2 writes it."""
+        return self._regex("$")
+
+    def compiled(self) -> re.Pattern:
+        """The same in Python, where ``$`` would also match before a final line feed."""
+        return re.compile(self._regex(r"\Z"))
+
+    def _regex(self, end: str) -> str:
+        text = self.text.lower()
+        parts = [rf"(?:[^a-z0-9_.%-]|{end})" if c == "^" else r"[\s\S]*" if c == "*" else re.escape(c) for c in text.strip("|")]
+        return ("^" if text.startswith("|") else "") + "".join(parts) + (end if text.endswith("|") and len(text) > 1 else "")
 
     @property
     def tokens(self) -> list[str]:
         """Whole tokens of any URL that matches: a run must not touch ``*`` or a loose end of the pattern."""
-        body = self.text
+        body = self.text.lower()
         found = []
         for m in re.finditer(r"[a-z0-9]+", body):
             before = body[m.start() - 1] if m.start() else "*"
@@ -114,22 +122,22 @@ def judge(pages: DataFrame, host_rules: list[HostRule], patterns: list[Pattern])
         by_host.setdefault(rule.host, []).append(rule)
 
     @F.pandas_udf("rule string, verdict string, pattern string")
-    def verdict(url: pd.Series, host: pd.Series, path: pd.Series) -> pd.DataFrame:
-        compiled = [re.compile(p.regex) for p in patterns]
-        out = []
-        for u, h, p in zip(url, host, path, strict=True):
-            labels = h.split(".")
-            fits = [r for i in range(len(labels)) for r in by_host.get(".".join(labels[i:]), ()) if p.startswith(r.path)] if h else []
-            if fits:
-                best = max(fits, key=lambda r: (len(r.name), r.name))
-                out.append((best.name, best.verdict, None))
-                continue
-            u = (u or "").lower()
-            found = {i for t in {None, *re.findall("[a-z0-9]+", u)} for i in index.get(t, ())}
-            hits = [i for i in sorted(found) if compiled[i].search(u)]
-            first = next((i for i in hits if patterns[i].verdict == "allow"), next(iter(hits), None))
-            out.append((None, "allow", None) if first is None else (None, patterns[first].verdict, patterns[first].text))
-        return pd.DataFrame(out, columns=["rule", "verdict", "pattern"])
+    def verdict(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        compiled = [p.compiled() for p in patterns]
+        for url, host, path in batches:
+            yield pd.DataFrame([judged_url(*parts, compiled) for parts in zip(url, host, path, strict=True)], columns=["rule", "verdict", "pattern"])
+
+    def judged_url(url: str | None, host: str, path: str, compiled: list[re.Pattern]) -> tuple[str | None, str, str | None]:
+        labels = host.split(".")
+        fits = [r for i in range(len(labels)) for r in by_host.get(".".join(labels[i:]), ()) if path.startswith(r.path)] if host else []
+        if fits:
+            best = max(fits, key=lambda r: (len(r.name), r.name))
+            return best.name, best.verdict, None
+        url = (url or "").lower()
+        found = {i for t in {None, *re.findall("[a-z0-9]+", url)} for i in index.get(t, ())}
+        hits = [i for i in sorted(found) if compiled[i].search(url)]
+        first = next((i for i in hits if patterns[i].verdict == "allow"), next(iter(hits), None))
+        return (None, "allow", None) if first is None else (None, patterns[first].verdict, patterns[first].text)
 
     at = F.instr(F.coalesce("url", F.lit("")), "://")
     rest = F.when(at > 0, F.substring("url", at + 3, F.length("url"))).otherwise(F.lit(""))

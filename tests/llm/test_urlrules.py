@@ -79,3 +79,25 @@ def test_edges(pages):
     assert judge(pages([]), HOST_RULES, PATTERNS).count() == 0
     assert judge(pages(["http://a.org/x"] * 3), [], []).collect()[0].verdict == "allow"
     assert judge(pages(["http://a.org/x/y"]), [HostRule("a.org", "/x", "block"), HostRule("org", "/x/y", "allow")], []).collect()[0].rule in {"a.org/x", "org/x/y"}
+
+
+def test_patterns_in_any_case_and_a_final_line_feed(pages):
+    urls = ["http://a.com/Login", "http://a.com/login\n", "http://a.com/x.exe", "http://a.com/x.exe\n", "http://a.com/X.EXE", "http://a.com/exe", "http://a.com/FREE/stuff"]
+    patterns = [Pattern("/LogIn^", "block"), Pattern(".EXE|", "block"), Pattern("/free/", "allow"), Pattern("*Stuff", "block")]
+    assert patterns[0].tokens == ["login"] and patterns[3].tokens == []
+    found = {r.page_id: (r.verdict, r.pattern) for r in judge(pages(urls), [], patterns).collect()}
+    login, exe = ("block", "/LogIn^"), ("block", ".EXE|")
+    assert found == {0: login, 1: login, 2: exe, 3: ("allow", None), 4: exe, 5: ("allow", None), 6: ("allow", "/free/")}
+
+
+def test_line_feeds_and_cases_agree_with_sql(pages):
+    import duckdb
+
+    urls = [u + end for u in URLS[4:26] for end in ("", "\n", "\r\n")] + ["http://A.com/X.ZIP\n", "http://A.com/LOGIN\n", "HTTP://a.com/Login"]
+    patterns = [*PATTERNS, Pattern("/LOGINS|", "block"), Pattern("://Ads.", "allow")]
+    table = pages(urls)
+    con = duckdb.connect()
+    con.register("pages", table.select("page_id", "url").toPandas())
+    columns = ["page_id", "host", "path", "rule", "verdict", "pattern"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({judge_sql(HOST_RULES, patterns)}) ORDER BY 1").fetchall()
+    assert [tuple(r) for r in judge(table, HOST_RULES, patterns).select(*columns).orderBy("page_id").collect()] == want
