@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from panelwright.functions.polynomials import diff_coefficients, diff_coefficien
 from panelwright.operators import differencing as D
 from panelwright.operators.axis import align
 from panelwright.operators.unitroot import auto_difference
+from panelwright.plans.session import working_folder
+from panelwright.sources.store import read_panel, write_panel
 
 SUP = P.supplier_months_sql()
 
@@ -54,6 +58,31 @@ def difference_daily(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(D.difference(P.priority_days(spark, sf), 1, 1, 7), "w").select("series_id", "ts", "t", "w")
 
 
+def _stored(panel: DataFrame, reach: int) -> str:
+    """Keep a panel in the working folder under a new name."""
+    name = f"panel_{uuid.uuid4().hex}"
+    write_panel(panel, name, reach, path=f"{working_folder(panel.sparkSession).rstrip('/')}/{name}")
+    return name
+
+
+@query("stored_panel", f"WITH {SUP} SELECT series_id, ts, t, {r('y')} AS y FROM p")
+def stored_panel(spark: SparkSession, sf: str) -> DataFrame:
+    name = _stored(P.supplier_months(spark, sf), 13)
+    return rounded(read_panel(spark, name), "y").select("series_id", "ts", "t", "y")
+
+
+@query("stored_difference", f"WITH {P.priority_days_sql()}, {difference_sql(1, 1, 7)} SELECT series_id, ts, t, {r('w')} AS w FROM dif")
+def stored_difference(spark: SparkSession, sf: str) -> DataFrame:
+    name = _stored(P.priority_days(spark, sf), 8)
+    return rounded(D.difference_stored(spark, name, 1, 1, 7), "w").select("series_id", "ts", "t", "w")
+
+
+@query("stored_totals", f"WITH {SUP} SELECT series_id, count(*) AS n, {r('avg(y)')} AS mean, {r('stddev_samp(y)')} AS spread FROM p GROUP BY 1")
+def stored_totals(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_panel(spark, _stored(P.supplier_months(spark, sf), 0))
+    return rounded(rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("spread")), "mean", "spread")
+
+
 @query("integrate", f"WITH {SUP} SELECT series_id, t, {r('y', 5)} AS y FROM p")
 def integrate_query(spark: SparkSession, sf: str) -> DataFrame:
     panel = P.supplier_months(spark, sf)

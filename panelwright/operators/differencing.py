@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions.polynomials import diff_coefficients
-from panelwright.plans.blocks import KEYS, block_rows, running_sums, with_lags
+from panelwright.plans.blocks import KEYS, block_rows, lags_of_halo, running_sums, with_lags
+from panelwright.sources.store import read_halo
 
 
 def _lag_names(lags: Sequence[int], value: str) -> dict[str, tuple[str, int]]:
@@ -27,14 +28,18 @@ def difference(
     panel: DataFrame, d: int = 0, D: int = 0, s: int = 1, value: str = "y", name: str = "w", keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """(1-B)^d (1-B^s)^D of ``value`` as ``name``; the first d + D*s rows of a series drop out."""
+    return _differenced(lambda lags: with_lags(panel, lags, keys), d, D, s, value, name)
+
+
+def difference_stored(spark: SparkSession, table: str, d: int = 0, D: int = 0, s: int = 1, value: str = "y", name: str = "w") -> DataFrame:
+    """As ``difference`` of a panel kept by ``sources.store``, whose blocks hold the rows before them: no row is shuffled."""
+    return _differenced(lambda lags: lags_of_halo(read_halo(spark, table, d + D * s), lags), d, D, s, value, name)
+
+
+def _differenced(lagged: Callable[[dict], DataFrame], d: int, D: int, s: int, value: str, name: str) -> DataFrame:
     coefficients = diff_coefficients(d, D, s)
     lags = _lag_names([k for k, c in enumerate(coefficients) if c], value)
-    return (
-        with_lags(panel, lags, keys)
-        .where(F.col("t") > d + D * s)
-        .withColumn(name, _weighted(coefficients, value))
-        .drop(*lags)
-    )
+    return lagged(lags).where(F.col("t") > d + D * s).withColumn(name, _weighted(coefficients, value)).drop(*lags)
 
 
 def difference_by_orders(

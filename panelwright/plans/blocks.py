@@ -102,8 +102,12 @@ def with_lags(df: DataFrame, lags: Mapping[str, tuple[str, int]], keys: Sequence
     """Add ``name -> (column, k)``: the value of ``column`` k rows earlier, null before the start."""
     if not lags:
         return blocked(df)
+    return lags_of_halo(with_halo(df, max(k for _, k in lags.values())), lags, keys)
+
+
+def lags_of_halo(halo: DataFrame, lags: Mapping[str, tuple[str, int]], keys: Sequence[str] = KEYS) -> DataFrame:
+    """As ``with_lags`` for rows that carry a halo of at least the greatest lag; the halo drops out."""
     window = block_window(keys)
-    halo = with_halo(df, max(k for _, k in lags.values()))
     return drop_halo(
         halo.withColumns({name: F.lag(source, k).over(window) if k else F.col(source) for name, (source, k) in lags.items()})
     )

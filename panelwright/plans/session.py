@@ -22,19 +22,19 @@ def local_session(cores: int | str = "*", name: str = "panelwright", partitions:
     )
 
 
+def working_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only a local session without it gets a folder of its own, one for all its tables."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="panelwright-checkpoint-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``.  Only a local session
-    without that setting gets a folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="panelwright-checkpoint-")
-        context.setCheckpointDir(folder)
+    """Materialise ``df`` in the working folder and cut its lineage."""
+    working_folder(df.sparkSession)
     return df.checkpoint(eager=True)
