@@ -105,10 +105,10 @@ def _ma1_zoom() -> str:
 
 
 # of an MA term the whole range is searched; the residual before the first counted one is 0
-@query("fit_bilevel_ma1", f"WITH RECURSIVE {DIF}, {_ma1_zoom()} SELECT series_id, {r('theta', 4)} AS theta, {r('sse', 4)} AS sse, true AS converged FROM z8")
+@query("fit_bilevel_global_ma1", f"WITH RECURSIVE {DIF}, {_ma1_zoom()} SELECT series_id, {r('theta', 4)} AS theta, {r('sse', 4)} AS sse, true AS converged FROM z8")
 def fit_bilevel_ma1_query(spark: SparkSession, sf: str) -> DataFrame:
     panel = P.supplier_months(spark, sf)
-    fits = E.fit_models(panel, E.specify(panel, d=1, q=1, mean=False, objective="bilevel"), pairs=[(1, 0)])
+    fits = E.fit_models(panel, E.specify(panel, d=1, q=1, mean=False, objective="bilevel_global"), pairs=[(1, 0)])
     out = rounded(fits.select("series_id", F.col("ma")[0].alias("theta"), "sse", "converged"), "theta", digits=4)
     return rounded(out, "sse", digits=4)
 

@@ -203,7 +203,7 @@ def differenced(
 
 
 #: Objectives whose fit without MA terms is the least squares that the moments hold.
-LINEAR_OBJECTIVES = ("mse", "ml", "bilevel")
+LINEAR_OBJECTIVES = ("mse", "ml", "bilevel", "bilevel_global")
 DIFFERENCED = ["series_id", "d", "sd"]
 
 

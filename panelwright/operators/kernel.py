@@ -21,9 +21,9 @@ from panelwright.operators.moments import solve_bounded
 #: Rounds after which a fit is given up as not converged; the same for series of any length.
 ROUNDS = 400
 SETTLED = 1e-16
-#: Values other than zero of an MA coefficient on the grid of starts of a bilevel search.
+#: Values other than zero of an MA coefficient on the grid of starts of a global search.
 STARTS = (-1.0, -0.95, -0.8, -0.5, -0.25, 0.25, 0.5, 0.8, 0.95, 1.0)
-#: Rounds of a bilevel descent before curvature by differences takes over.
+#: Rounds of its descents before curvature by differences takes over.
 EARLY = 50
 
 
@@ -274,7 +274,7 @@ def minimise(problem: _Problem, b: np.ndarray, rounds: int = ROUNDS, tol: float
 
 
 def start_points(free: np.ndarray, linear: int) -> np.ndarray:
-    """MA parts a bilevel search descends from: points of a grid with at most two coefficients off zero; zero comes first."""
+    """MA parts a global search descends from: points of a grid with at most two coefficients off zero; zero comes first."""
     at = np.flatnonzero(free[linear:])
     points = [np.zeros(len(free) - linear)]
     for count in (1, 2):
@@ -451,9 +451,9 @@ def _fit_chunk(w, y, exog, orders, s, objective, lam, alpha, fixed, df) -> list[
     chosen, bound = np.full(C, np.nan), np.full(C, np.nan)
     K = mask.sum(axis=1) + 1
     K_var = K - layout.exog
-    if objective in ("mse", "ml", "bilevel", "mae", "stable"):
-        problem.nested = objective == "bilevel"
-        b, done = (_best_descent if problem.nested else minimise)(problem, b)
+    if objective in ("mse", "ml", "bilevel", "bilevel_global", "mae", "stable"):
+        problem.nested = objective.startswith("bilevel")
+        b, done = (_best_descent if objective == "bilevel_global" else minimise)(problem, b)
         problem.nested = False
         if objective == "mae":
             problem.absolute = True

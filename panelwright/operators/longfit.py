@@ -85,8 +85,8 @@ def fit_long(
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     rows = checkpoint(rows.repartition(tasks, *SERIES, "blk"))
     active = checkpoint(_start(wanted, panel, rows, layout, given, df))
-    if not wanted.where("objective = 'bilevel' AND q + sq > 0").isEmpty():
-        gridded = (F.col("objective") == "bilevel") & F.col("model_id").contains("#")
+    if not wanted.where("objective = 'bilevel_global' AND q + sq > 0").isEmpty():
+        gridded = (F.col("objective") == "bilevel_global") & F.col("model_id").contains("#")
         measured = _measure(rows, active.where(gridded), layout, exog_columns, s, limit)
         active = checkpoint(active.where(~gridded).unionByName(_minima(active.where(gridded), measured, layout)))
     finished = []
@@ -103,7 +103,7 @@ def fit_long(
 
 
 def _start(wanted: DataFrame, panel: DataFrame, rows: DataFrame, layout: Layout, given: bool, df: str) -> DataFrame:
-    """State rows at the origin; an elastic net without a penalty becomes one row per step of its path, a bilevel search one per start."""
+    """State rows at the origin; an elastic net without a penalty becomes one row per step of its path, a global search one per start."""
     from panelwright.operators.estimate import GIVEN_COLUMNS, lambda_path_panel
 
     k = F.col("p") + F.col("q") + F.col("sp") + F.col("sq") + F.col("mean").cast("int") + F.col("drift").cast("int") + 1
@@ -148,7 +148,7 @@ def _start(wanted: DataFrame, panel: DataFrame, rows: DataFrame, layout: Layout,
                     "worst": np.nan, "n_resid": 0, "n_w": 0, "recent": [], "mu": 1e-4 if layout.ma_lags else 1e-12, "calm": 0, "phase": 0, "ref": 1.0, "last": [0.0] * layout.size, "gain": 1.0, "done": False,
                     "bound": 0.0, "radius": np.inf, "pool": [],
                 }
-                points = start_points(free, layout.linear) if row["objective"] == "bilevel" else np.zeros((1, layout.size - layout.linear))
+                points = start_points(free, layout.linear) if row["objective"] == "bilevel_global" else np.zeros((1, layout.size - layout.linear))
                 for i, point in enumerate(points):
                     at = np.concatenate([b[: layout.linear], b[layout.linear :] + point]).tolist()
                     name = row["model_id"] if len(points) == 1 else f"{row['model_id']}#{i}"
@@ -159,7 +159,7 @@ def _start(wanted: DataFrame, panel: DataFrame, rows: DataFrame, layout: Layout,
 
 
 def _minima(active: DataFrame, measured: DataFrame, layout: Layout) -> DataFrame:
-    """The start points of every bilevel search that are minima of its grid, the rest solved exactly from the moments of one pass."""
+    """The start points of every global search that are minima of its grid, the rest solved exactly from the moments of one pass."""
     lower = np.full(layout.size, -np.inf)
     lower[1 + layout.exog :] = -1.0
 
@@ -402,7 +402,7 @@ def _exchange_row(row: dict, layout: Layout, low: np.ndarray) -> dict:
 
 
 def _finish(state: DataFrame, layout: Layout, s: int, given: bool, df: str, exog: int) -> DataFrame:
-    """The fit table of the finished state; of a penalty path, or the starts of a bilevel search, the one with the lowest BIC."""
+    """The fit table of the finished state; of a penalty path, or the starts of a global search, the one with the lowest BIC."""
     from panelwright.operators.estimate import FIT_FIELDS, _row
 
     spec_fields = "series_id string, model_id string, p int, d int, q int, sp int, sd int, sq int, s int, mean boolean, drift boolean, objective string, alpha double"

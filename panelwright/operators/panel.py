@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.plans.blocks import KEYS, attach
 
-OBJECTIVES = ("mae", "mse", "ml", "bilevel", "elastic_net", "stable")
+OBJECTIVES = ("mae", "mse", "ml", "bilevel", "bilevel_global", "elastic_net", "stable")
 INTEGRATION_TESTS = ("kpss",)
 SEASONAL_TESTS = ("seas", "ch", "ocsb")
 CRITERIA = ("aic", "aicc", "bic")

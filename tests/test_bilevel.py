@@ -1,4 +1,4 @@
-"""Bilevel fits against a fine grid of MA coefficients, at every block size."""
+"""Global bilevel fits against a fine grid of MA coefficients, at every block size."""
 
 import datetime as dt
 
@@ -35,7 +35,7 @@ def test_descent_from_zero_misses_the_optimum_and_the_search_does_not(seed):
     best = squares(w, np.linspace(-1, 1, 20001)).min()
     order = (0, 1, 0, 0, 0)
     assert fit(w, order, "mse")["sse"] > best * (1 + 5e-4)
-    found = fit(w, order, "bilevel")
+    found = fit(w, order, "bilevel_global")
     assert found["sse"] <= best * (1 + 1e-12) and found["sse"] == pytest.approx(best, rel=1e-5) and found["converged"]
 
 
@@ -43,13 +43,13 @@ def test_never_above_any_point_of_a_fine_grid():
     theta = np.linspace(-1, 1, 4001)
     for seed in range(120):
         w = made_up(seed)
-        assert fit(w, (0, 1, 0, 0, 0), "bilevel")["sse"] <= squares(w, theta).min() * (1 + 1e-9), seed
+        assert fit(w, (0, 1, 0, 0, 0), "bilevel_global")["sse"] <= squares(w, theta).min() * (1 + 1e-9), seed
 
 
 def test_two_ma_terms_with_an_inner_problem():
     rng = np.random.default_rng(5)
     w = rng.normal(size=25)
-    found = fit(w, (0, 1, 0, 1, 1), "bilevel")
+    found = fit(w, (0, 1, 0, 1, 1), "bilevel_global")
     line = np.linspace(-1, 1, 61)
     first = 4
     for a in line:
@@ -78,7 +78,7 @@ def test_grid_of_starts():
 
 def test_given_coefficients_are_not_searched():
     w = made_up(64)
-    found = kernel.fit_candidates(w, w, None, [(0, 1, 0, 0, 0)], 1, "bilevel", fixed=[{"ma": [0.3]}])[0]
+    found = kernel.fit_candidates(w, w, None, [(0, 1, 0, 0, 0)], 1, "bilevel_global", fixed=[{"ma": [0.3]}])[0]
     assert found["ma"].tolist() == [0.3] and found["sse"] == pytest.approx(squares(w, np.array([0.3]))[0])
 
 
@@ -92,10 +92,10 @@ def test_same_over_blocks(spark, small_blocks):
     hard[120] = 0.0
     rows += [("b", dt.date(2000, 1, 1) + dt.timedelta(i), i + 1, float(v)) for i, v in enumerate(hard)]
     panel = spark.createDataFrame(rows, "series_id string, ts date, t long, y double")
-    spec = estimate.specify(panel, q=1, mean=False, objective="bilevel")
+    spec = estimate.specify(panel, q=1, mean=False, objective="bilevel_global")
     found = {r.series_id: r for r in longfit.fit_long(panel, spec, 1, pairs_=[(0, 0)]).collect()}
     for name, values in (("a", y), ("b", hard)):
-        one = fit(values, (0, 1, 0, 0, 0), "bilevel")
+        one = fit(values, (0, 1, 0, 0, 0), "bilevel_global")
         assert found[name].sse == pytest.approx(one["sse"], rel=1e-9) and found[name].model_id == spec.first().model_id
         assert found[name].sse <= squares(values, np.linspace(-1, 1, 4001)).min() * (1 + 1e-9) and found[name].converged
     assert found["b"].sse == pytest.approx(squares(made_up(64), np.linspace(-1, 1, 20001)).min(), rel=1e-6)
