@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import estimate
+from panelwright.operators import estimate, moments
 from panelwright.operators.kernel import fit_candidates
 from panelwright.operators.moments import solve_bounded
 from panelwright.operators.penalty import largest_penalties
@@ -106,3 +106,22 @@ def test_largest_penalties_are_the_first_steps(panel):
     for k in (2, 3, 5):
         for row in estimate.lambda_path_panel(panel, k).where("step = 0").collect():
             assert got[row.series_id, k] == pytest.approx(row["lambda"], rel=1e-12)
+
+
+def test_bounds_are_met_without_steps_by_coordinate(monkeypatch):
+    # columns nearly alike and values of any size: steps by coordinate would go on for thousands of rounds
+    monkeypatch.setattr(moments, "_polish", lambda *_: pytest.fail("steps by coordinate were taken"))
+    rng = np.random.RandomState(4)
+    low = np.array([-np.inf, -1.0, -1.0, -1.0])
+    for size in (1.0, 1e3, 1e6):
+        base = rng.randn(60)
+        X = np.column_stack([base + 1e-3 * rng.randn(60) for _ in range(4)]) * size
+        y = X @ np.array([2.0, -3.0, 2.5, 0.3]) + size * rng.randn(60)
+        G, r = X.T @ X, X.T @ y
+        for lam in (0.0, 1e-6 * size**2):
+            b = solve_bounded(G, r, low, -low, lam)
+            whole = G + lam * np.eye(4)
+            slope = (whole @ b - r) / (np.abs(whole) @ np.abs(b) + np.abs(r))
+            at_low, at_high = b == low, b == -low
+            assert (at_low | at_high).any() and (b >= low).all() and (b <= -low).all()
+            assert np.abs(slope[~(at_low | at_high)]).max() < 1e-9 and (slope[at_low] > -1e-9).all() and (slope[at_high] < 1e-9).all()
