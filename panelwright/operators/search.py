@@ -532,6 +532,9 @@ def auto_sarima(
         raise ValueError("lambda and alpha belong to the elastic_net objective")
     if mean and drift:
         raise ValueError("mean and drift are both an intercept of the differenced series: allow one of them")
+    # every round reads the panel again: it is made once
+    panel = checkpoint(panel)
+    exog = None if exog is None else checkpoint(exog)
     flat = checkpoint(constant_series_model(panel, mean))
     varied = restrict(panel, lengths(panel).join(flat.select("series_id"), "series_id", "left_anti"))
     orders = checkpoint(select_orders(varied, s, d, D, max_d, seasonal_test, exog, exog_columns, longest))
