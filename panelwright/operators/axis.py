@@ -99,14 +99,20 @@ def require_regular(panel: DataFrame, axis: DataFrame, strict: bool = False) ->
 
 
 def future_timestamps(axis: DataFrame, h: int, last: str = "end_ts") -> DataFrame:
-    """The next ``h`` timestamps after ``last``, one step added at a time.
+    """The next ``h`` timestamps after ``last``, one row each."""
+    if h == 0:
+        return axis.select("series_id", F.lit(0).alias("h"), F.col(last).alias("ts")).limit(0)
+    kind = axis.schema[last].dataType
+    return axis.select("series_id", F.posexplode(future_steps(axis, h, last)).alias("h", "ts")).where("h > 0").withColumn("ts", F.col("ts").cast(kind))
+
+
+def future_steps(axis: DataFrame, h: int, last: str = "end_ts") -> Column:
+    """Array of ``last`` and the ``h`` timestamps after it, one step added at a time.
 
     Adding step by step keeps the clamped day of a month (31 Jan, 29 Feb, 29 Mar);
     on a weekday axis a Friday is followed by the Monday.
     """
     kind = axis.schema[last].dataType
-    if h == 0:
-        return axis.select("series_id", F.lit(0).alias("h"), F.col(last).alias("ts")).limit(0)
     months = F.when(F.col("granularity") == "Year", 12).otherwise(1) * F.col("frequency")
     by_month = F.col("granularity").isin("Year", "Month")
     sizes = F.coalesce(*[F.when(F.col("granularity") == unit, F.lit(float(size))) for unit, size in UNITS])
@@ -118,12 +124,11 @@ def future_timestamps(axis: DataFrame, h: int, last: str = "end_ts") -> DataFram
         by_gap = F.when(F.col("weekdays") & (F.weekday(ts) == 4), ts + weekend).otherwise(ts + gap)
         return F.when(by_month, ts + F.make_ym_interval(F.lit(0), months.cast("int"))).otherwise(by_gap).cast(work)
 
-    path = F.aggregate(
+    return F.aggregate(
         F.sequence(F.lit(1), F.lit(h)),
         F.array(F.col(last).cast(work)),
         lambda acc, _: F.concat(acc, F.array(following(F.element_at(acc, -1)))),
     )
-    return axis.select("series_id", F.posexplode(path).alias("h", "ts")).where("h > 0").withColumn("ts", F.col("ts").cast(kind))
 
 
 def align(frames: Sequence[DataFrame]) -> DataFrame:

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.criteria import normal_quantile
 from panelwright.functions.polynomials import diff_coefficients_column, dot_recent, empty, full_polynomial, psi_weights
-from panelwright.operators.axis import future_timestamps
+from panelwright.operators.axis import future_steps, future_timestamps
 from panelwright.operators.panel import lengths
 from panelwright.plans.blocks import attach
 
 MODEL = ["series_id", "model_id"]
+#: Scenarios of a model that travel as one row.
+SPAN = 50
+#: Horizons up to which the shocks of a path are weighted in one expression each; longer paths are folds.
+SHORT = 16
 
 
 def recent_values(panel: DataFrame, reach: DataFrame) -> DataFrame:
@@ -158,16 +162,32 @@ def scenario_paths(
 
     Draws come from a hash, so the rows are the same under any partitioning.
     """
-    states = _with_exog(_states(fits, panel, s), xb)
+    kind = axis.schema["end_ts"].dataType.simpleString()
+    states = _with_exog(_states(fits, panel, s), xb).join(axis.select("series_id", future_steps(axis, h).cast(f"array<{kind}>").alias("_ts")), "series_id")
     spark = panel.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    drawn = (
-        states.withColumn("scenario", F.explode(F.sequence(F.lit(1), F.lit(scenarios))))
-        .repartition(tasks, *MODEL, "scenario")
-        .withColumn("_shocks", F.transform(F.sequence(F.lit(1), F.lit(h)), lambda i: F.sqrt("sigma2") * shock(seed, i)))
-    )
-    paths = drawn.select(*MODEL, "scenario", F.posexplode(_path(h, F.col("xb"), F.col("_shocks"))).alias("_at", "value"))
-    return paths.withColumn("h", F.col("_at") + 1).drop("_at").join(future_timestamps(axis, h), ["series_id", "h"])
+    steps = range(1, h + 1)
+    if h <= SHORT:
+        # the model is linear: a path is the forecast plus the shocks so far, each by the weight of its age
+        weights = F.concat(F.array(F.lit(1.0)), psi_weights(_convolved_ar(), F.col("_ma"), max(h - 1, 1)))
+        states = states.select("*", _path(h, F.col("xb"), None).alias("_mean"), weights.alias("_psi")).select(*MODEL, "sigma2", "_ts", "_mean", "_psi")
+    spans = states.withColumn("_from", F.explode(F.sequence(F.lit(1), F.lit(scenarios), F.lit(SPAN)))).repartition(tasks, *MODEL, "_from")
+    drawn = spans.withColumn("scenario", F.explode(F.sequence("_from", F.least(F.col("_from") + (SPAN - 1), F.lit(scenarios)))))
+    if h <= SHORT:
+        drawn = drawn.withColumns({f"_z{i}": F.sqrt("sigma2") * shock(seed, F.lit(i)) for i in steps})
+
+        def value(i: int) -> Column:
+            total = F.col("_mean")[i - 1]
+            for j in range(1, i + 1):
+                total = total + F.col("_psi")[i - j] * F.col(f"_z{j}")
+            return total
+
+        rows = F.array(*[F.struct(F.lit(i).alias("h"), value(i).alias("value"), F.col("_ts")[i].alias("ts")) for i in steps])
+    else:
+        drawn = drawn.withColumn("_shocks", F.transform(F.sequence(F.lit(1), F.lit(h)), lambda i: F.sqrt("sigma2") * shock(seed, i)))
+        zipped = F.arrays_zip(F.sequence(F.lit(1), F.lit(h)).alias("h"), _path(h, F.col("xb"), F.col("_shocks")).alias("value"), F.slice("_ts", 2, h).alias("ts"))
+        rows = F.transform(zipped, lambda x: F.struct(x["h"].alias("h"), x["value"].alias("value"), x["ts"].alias("ts")))
+    return drawn.select(*MODEL, "scenario", F.inline(rows)).select("series_id", "h", "model_id", "scenario", "value", "ts")
 
 
 def accuracy(actual: DataFrame, predicted: DataFrame, value: str = "y", mean: str = "mean", keys: Sequence[str] = ("series_id",)) -> DataFrame:
