@@ -17,6 +17,7 @@ from panelwright.operators import forecast as FC
 from panelwright.operators import outliers as O
 from panelwright.operators.axis import identify_granularity
 from panelwright.operators.panel import lengths, split_train_test, time_range
+from panelwright.plans.session import checkpoint
 
 SUP = P.supplier_months_sql()
 Z95 = C.normal_quantile(0.95)
@@ -90,11 +91,11 @@ def regressor_forecast_query(spark: SparkSession, sf: str) -> DataFrame:
 @query("forecast_outlier_regressor", f"""WITH {SUP}, top AS (SELECT series_id, arg_max(t, struct_pack(a := y, b := -t)) AS at, max(n) AS n, max(y) AS peak, sum(y) AS total FROM p GROUP BY 1)
  SELECT series_id, CAST(h AS INTEGER) AS h, {r('(total - peak) / (n - 1)')} AS mean FROM top, range(1, 4) x(h)""")
 def outlier_forecast_query(spark: SparkSession, sf: str) -> DataFrame:
-    panel = P.supplier_months(spark, sf)
+    panel = checkpoint(P.supplier_months(spark, sf))
     peak = panel.groupBy("series_id").agg(F.max(F.struct("y", -F.col("t"))).alias("top"), F.max("ts").alias("last"))
     peak = peak.select("series_id", (-F.col("top.col2")).alias("at"))
     exog = panel.join(peak, "series_id").select("series_id", "ts", (F.col("t") == F.col("at")).cast("double").alias("outlier_peak"))
-    fits = E.fit_models(panel, E.specify(panel), 1, exog, ["outlier_peak"], pairs=[(0, 0)])
+    fits = checkpoint(E.fit_models(panel, E.specify(panel), 1, exog, ["outlier_peak"], pairs=[(0, 0)]))
     axis = identify_granularity(panel)
     xb = FC.exog_contributions(fits, axis, exog, ["outlier_peak"], 3)
     return rounded(FC.forecast(fits, panel, axis, 3, xb=xb).select("series_id", "h", "mean"), "mean")
@@ -113,7 +114,7 @@ SHOCK = f"sqrt(-2 * ln({uniform_sql(1)})) * cos(2 * pi() * {uniform_sql(9)})"
    UNION ALL SELECT series_id, scenario, h + 1, c + phi * w + sqrt(sigma2) * {SHOCK}, y + c + phi * w + sqrt(sigma2) * {SHOCK} FROM sim JOIN par USING (series_id) WHERE h < 6)
  SELECT series_id, CAST(scenario AS INTEGER) AS scenario, CAST(h AS INTEGER) AS h, {r('y', 5)} AS value FROM sim WHERE h > 0""")
 def scenario_query(spark: SparkSession, sf: str) -> DataFrame:
-    panel = P.supplier_months(spark, sf)
+    panel = checkpoint(P.supplier_months(spark, sf))
     paths = FC.scenario_paths(ar1_fits(panel), panel, identify_granularity(panel), 6, scenarios=200, seed=7)
     return rounded(paths.select("series_id", "scenario", "h", "value"), "value", digits=5)
 
